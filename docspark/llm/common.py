@@ -85,3 +85,9 @@ def ranked(scratch: Scratch, df: DataFrame, order: list[Column], name: str, out:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -75,28 +75,31 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = text_or_empty(text_col)
     grams = lambda w: F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     counts = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(grams(w)).alias("r")))
-    step = docs.withColumn("__c", counts)
     lines = F.filter(F.split(text, "\n", -1), lambda x: strip_ascii(x) != "")
-    bare = F.translate(text, SPACES, "")
-    upper = F.regexp_replace(text, r"[^\p{Lu}]+", "")
-    letters = F.regexp_replace(text, r"[^\p{L}]+", "")
-    step = step.withColumn("n_words", F.col("__c")["n"]).withColumn("word_chars", F.char_length(bare).cast("long"))
-    step = step.withColumn("n_symbols", (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"))
     dups = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
-    step = step.withColumn("__d", dups).withColumn("n_dup_lines", F.col("__d")["d"]).withColumn("__lines", F.col("__d")["n"])
-    step = step.withColumn("n_repeat_words", F.col("__c")["r"]).withColumn("__u", F.char_length(upper)).withColumn("__l", F.char_length(letters))
+    figures = F.struct(
+        counts.alias("c"),
+        dups.alias("d"),
+        F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
+        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).alias("upper"),
+        F.char_length(F.regexp_replace(text, r"[^\p{L}]+", "")).alias("letters"),
+    )
+    step = docs.select("*", F.explode(F.array(figures)).alias("__f"))  # a generator: the optimizer won't compute the figures again for each use
+    f = lambda name: F.col(f"__f.{name}")
+    step = step.withColumns({"n_words": f("c.n"), "word_chars": f("word_chars"), "n_symbols": f("n_symbols"), "n_dup_lines": f("d.d"), "n_repeat_words": f("c.r")})
     one = lambda c: F.greatest(c, F.lit(1)).cast("double")
     step = step.withColumns(
         {
             "symbol_share": F.col("n_symbols") / one(F.col("n_words")),
-            "shout_share": F.col("__u") / one(F.col("__l")),
+            "shout_share": f("upper") / one(f("letters")),
             "repeat_share": F.col("n_repeat_words") / one(F.col("n_words")),
-            "dup_line_share": F.col("n_dup_lines") / one(F.col("__lines")),
+            "dup_line_share": F.col("n_dup_lines") / one(f("d.n")),
             "mean_word": F.col("word_chars") / one(F.col("n_words")),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
-    return step.drop("__c", "__d", "__lines", "__u", "__l")
+    return step.drop("__f")
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
