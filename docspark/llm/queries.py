@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, ctw, license, linededup, minhash, mixing, quality, sharding, tiling
+from docspark.llm import chat, ctw, license, linededup, minhash, mixing, pii, quality, sharding, tiling
 from docspark.llm.common import read
 
 
@@ -39,6 +39,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.size("items") > 0)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_kind(F.col("base"), i).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_ctw_score": op4_ctw_score,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
+    "op7_pii": op7_pii,
     "op8_shard": op8_shard,
     "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
