@@ -56,8 +56,8 @@ def _coin(seed: Column | int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, h, size, source, source_size, target, n_copies of every row."""
+def rates(docs: DataFrame, weights: tuple[float, ...], share: float, max_repeats: float, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h, size, source of every row; and source, source_size, target, whole, part, seed of every source."""
     scratch = Scratch(docs.sparkSession, "mix")
     text = text_or_empty(text_col)
     rows = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("h"), n_words(text).alias("size"), F.col(source_col).cast("string").alias("source")), "sizes")
@@ -66,11 +66,19 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     goal = goal.withColumn("whole", F.floor(rate + F.lit(1e-12))).withColumn("part", F.greatest(rate - F.col("whole"), F.lit(0.0)))
     joined = _join_source(rows, goal)
     tries = [F.sum(F.when(_coin(s) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
-    sums = joined.groupBy("source").agg(F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("part").alias("part"), F.first("source_size").alias("source_size"), *tries)
+    sums = joined.groupBy("source").agg(*[F.first(c).alias(c) for c in ("target", "whole", "part", "source_size")], *tries)
     miss = [F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{s}") - F.col("target")).alias("miss"), F.lit(s).alias("seed")) for s in range(SEEDS)]
-    goal = scratch.save(sums.select("source", "source_size", "target", "whole", "part", F.least(*miss)["seed"].alias("seed")), "rates")
-    n = F.col("whole") + (_coin(F.col("seed")) < F.col("part")).cast("long")
-    return _join_source(rows, goal).select("doc_id", "h", "size", "source", "source_size", "target", n.cast("long").alias("n_copies"))
+    return rows, scratch.save(sums.select("source", "source_size", "target", "whole", "part", F.least(*miss)["seed"].alias("seed")), "rates")
+
+
+def _n_copies() -> Column:
+    return (F.col("whole") + (_coin(F.col("seed")) < F.col("part")).cast("long")).cast("long")
+
+
+def copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source, source_size, target, n_copies of every row."""
+    rows, goal = rates(docs, weights, share, max_repeats, id_col, text_col, source_col)
+    return _join_source(rows, goal).select("doc_id", "size", "source", "source_size", "target", _n_copies().alias("n_copies"))
 
 
 def _join_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -81,9 +89,11 @@ def _join_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     return rows.join(side, rows["source"].eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mixed table: every row of docs n_copies times, with docs' columns."""
-    n = copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col("h").alias("__h"), "n_copies").where("n_copies > 0").dropDuplicates(["__h"])
-    keyed = docs.withColumn("__h", F.xxhash64(F.col(id_col), text_or_empty(text_col)))
-    out = keyed.join(n.hint("shuffle_hash"), "__h").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixed table: every row of docs n_copies times, with docs' columns. The texts are not shuffled."""
+    _, goal = rates(docs, weights, share, max_repeats, id_col, text_col, source_col)
+    goal = goal.select(F.col("source").alias("__key"), "whole", "part", "seed")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = docs.select(row, F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("h"), F.col(source_col).cast("string").alias("source"))
+    out = _join_source(keyed, goal.withColumnRenamed("__key", "source")).withColumn("n", _n_copies()).where("n > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("__row.*")

@@ -138,19 +138,42 @@ def _scan_batches(seeds, threshold: float):
     return scan
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, items (covered to the threshold), coverage and best_item of every document."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, min_match: int) -> list:
+    """Seeds of each block of about BLOCK_ITEMS items, as broadcasts."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), "text")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    n = max(1, -(-items.count() // BLOCK_ITEMS))
+    out = []
+    for b in range(n):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        out.append(spark.sparkContext.broadcast(Seeds(sorted((r[0], r[1]) for r in block if r[0] is not None and r[1] is not None), min_match)))
+    return out
+
+
+def _keep_batches(seeds, threshold: float, text_at: int):
+    scan = _scan_batches(seeds, threshold)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(scan(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at)], ["doc_id", "text"])])))
+            yield batch.filter(pa.array([not x for x in found.column(1).to_pylist()], pa.bool_()))
+
+    return keep
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs without the contaminated documents: whole rows pass through, nothing is shuffled."""
+    for seeds in _blocks(docs, benchmark, min_match):
+        docs = docs.mapInArrow(_keep_batches(seeds, threshold, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, items (covered to the threshold), coverage and best_item of every document."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = []
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()  # about BLOCK_ITEMS rows
-        seeds = spark.sparkContext.broadcast(Seeds(sorted((r[0], r[1]) for r in block if r[1] is not None), min_match))
-        parts.append(slim.mapInArrow(_scan_batches(seeds, threshold), SCHEMA))
-    if blocks == 1:
+    parts = [slim.mapInArrow(_scan_batches(seeds, threshold), SCHEMA) for seeds in _blocks(docs, benchmark, min_match)]
+    if len(parts) == 1:
         return parts[0]
     out = parts[0]
     for p in parts[1:]:
