@@ -19,7 +19,6 @@ from docspark.plans.errors import QueryError
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTION = (T.FloatType, T.DoubleType, T.DecimalType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-FALSE = F.lit(False)
 
 
 @dataclass
@@ -34,7 +33,8 @@ class Value:
         return isinstance(self.kind, T.VariantType)
 
 
-ABSENT = Value(F.lit(None).cast("string"), None)
+def absent() -> Value:
+    return Value(F.lit(None).cast("string"), None)
 
 
 def variant_path(keys: list) -> str:
@@ -44,7 +44,7 @@ def variant_path(keys: list) -> str:
 def descend(v: Value, keys: list) -> Value:
     for i, k in enumerate(keys):
         if v.kind is None:
-            return ABSENT
+            return absent()
         if v.variant:
             return Value(F.try_variant_get(v.col, variant_path(keys[i:]), "variant"), v.kind)
         if isinstance(v.kind, T.StructType) and isinstance(k, str) and k in v.kind.names:
@@ -54,7 +54,7 @@ def descend(v: Value, keys: list) -> Value:
         elif isinstance(v.kind, T.MapType) and isinstance(k, str):
             v = Value(F.try_element_at(v.col, F.lit(k)), v.kind.valueType)
         else:
-            return ABSENT
+            return absent()
     return v
 
 
@@ -72,7 +72,7 @@ class Binding:
         if self.body is not None:
             return descend(Value(F.col(f"`{self.body}`"), T.VariantType()), list(keys))
         if keys[0] not in self.schema.names:
-            return ABSENT
+            return absent()
         return descend(Value(F.col(f"`{keys[0]}`"), self.schema[keys[0]].dataType), list(keys[1:]))
 
 
@@ -87,7 +87,7 @@ class ElementBinding:
 
 
 def _true(c: Column) -> Column:
-    return F.coalesce(c, FALSE)
+    return F.coalesce(c, F.lit(False))
 
 
 def kind_of(v: Value) -> Column:
@@ -104,13 +104,13 @@ def _get(v: Value, as_type: str) -> Column:
 
 
 def exists(v: Value) -> Column:
-    return FALSE if v.kind is None else v.col.isNotNull()
+    return F.lit(False) if v.kind is None else v.col.isNotNull()
 
 
 def scalar_equal(v: Value, x: object) -> Column:
     """Strict equality: no coercion between integers, fractions, strings and booleans."""
     if v.kind is None:
-        return FALSE
+        return F.lit(False)
     if v.variant:
         kind = kind_of(v)
         if x is None:
@@ -123,16 +123,16 @@ def scalar_equal(v: Value, x: object) -> Column:
             return _true(_is_fraction(kind) & (_get(v, "double") == x))
         return _true((kind == "STRING") & (_get(v, "string") == x))
     if x is None:
-        return FALSE
+        return F.lit(False)
     if isinstance(x, bool):
-        return _true(v.col == x) if isinstance(v.kind, T.BooleanType) else FALSE
+        return _true(v.col == x) if isinstance(v.kind, T.BooleanType) else F.lit(False)
     if isinstance(x, int):
-        return _true(v.col == x) if isinstance(v.kind, WHOLE) else FALSE
+        return _true(v.col == x) if isinstance(v.kind, WHOLE) else F.lit(False)
     if isinstance(x, float):
-        return _true(v.col == x) if isinstance(v.kind, FRACTION) else FALSE
+        return _true(v.col == x) if isinstance(v.kind, FRACTION) else F.lit(False)
     if isinstance(v.kind, TIMES):
         return _true(v.col == F.lit(x).try_cast(v.kind))
-    return _true(v.col == x) if isinstance(v.kind, T.StringType) else FALSE
+    return _true(v.col == x) if isinstance(v.kind, T.StringType) else F.lit(False)
 
 
 def has_element(v: Value, x: object) -> Column:
@@ -141,7 +141,7 @@ def has_element(v: Value, x: object) -> Column:
         return _true(F.exists(_get(v, "array<variant>"), lambda e: scalar_equal(Value(e, v.kind), x)))
     if isinstance(v.kind, T.ArrayType):
         return _true(F.exists(v.col, lambda e: scalar_equal(Value(e, v.kind.elementType), x)))
-    return FALSE
+    return F.lit(False)
 
 
 def compare(v: Value, op: str, x: object) -> Column:
@@ -151,7 +151,7 @@ def compare(v: Value, op: str, x: object) -> Column:
     if op == "=/=":
         return exists(v) & ~scalar_equal(v, x)
     if v.kind is None or x is None or isinstance(x, bool):
-        return FALSE
+        return F.lit(False)
     number = not isinstance(x, str)
     if v.variant:
         kind = kind_of(v)
@@ -163,10 +163,10 @@ def compare(v: Value, op: str, x: object) -> Column:
             fits, c = kind == "STRING", _get(v, "string")
         return _true(fits & _ordered(c, op, F.lit(x)))
     if number:
-        return _true(_ordered(v.col, op, F.lit(x))) if isinstance(v.kind, (*WHOLE, *FRACTION)) else FALSE
+        return _true(_ordered(v.col, op, F.lit(x))) if isinstance(v.kind, (*WHOLE, *FRACTION)) else F.lit(False)
     if isinstance(v.kind, TIMES):
         return _true(_ordered(v.col, op, F.lit(x).try_cast(v.kind)))
-    return _true(_ordered(v.col, op, F.lit(x))) if isinstance(v.kind, T.StringType) else FALSE
+    return _true(_ordered(v.col, op, F.lit(x))) if isinstance(v.kind, T.StringType) else F.lit(False)
 
 
 def _ordered(a: Column, op: str, b: Column) -> Column:
@@ -192,7 +192,7 @@ def number_of(v: Value) -> Column:
 def compare_values(a: Value, op: str, b: Value) -> Column:
     """A comparison of two paths, by the same rules."""
     if a.kind is None or b.kind is None:
-        return FALSE
+        return F.lit(False)
     if a.variant or b.variant:
         left_n, right_n = number_of(a), number_of(b)
         left_s, right_s = (x if (x := text_of(v)) is not None else F.lit(None).cast("string") for v in (a, b))
@@ -204,11 +204,11 @@ def compare_values(a: Value, op: str, b: Value) -> Column:
     alike = numbers or type(a.kind) is type(b.kind)
     if op == "==":
         strict = isinstance(a.kind, WHOLE) == isinstance(b.kind, WHOLE) if numbers else alike
-        return _true(a.col == b.col) if strict else FALSE
+        return _true(a.col == b.col) if strict else F.lit(False)
     if op == "=/=":
         strict = isinstance(a.kind, WHOLE) == isinstance(b.kind, WHOLE) if numbers else alike
         return exists(a) & exists(b) & ((a.col != b.col) if strict else F.lit(True))
-    return _true(_ordered(a.col, op, b.col)) if alike and not isinstance(a.kind, T.BooleanType) else FALSE
+    return _true(_ordered(a.col, op, b.col)) if alike and not isinstance(a.kind, T.BooleanType) else F.lit(False)
 
 
 def condition(c: tuple, binding, variables: dict[str, list] | None = None, strict_lists: bool = False) -> Column:
@@ -235,7 +235,7 @@ def condition(c: tuple, binding, variables: dict[str, list] | None = None, stric
             return compare_values(v, c[2], binding.value(variables[c[3].name]))
         return compare(v, c[2], c[3])
     if kind == "in":
-        out = FALSE
+        out = F.lit(False)
         for x in c[2]:
             out = out | scalar_equal(v, x)
         return out
@@ -247,7 +247,7 @@ def condition(c: tuple, binding, variables: dict[str, list] | None = None, stric
         return ~exists(v)
     text = text_of(v)
     if text is None:
-        return FALSE
+        return F.lit(False)
     return _true(text.rlike(c[2]) if kind == "regex" else text.startswith(c[2]))
 
 
