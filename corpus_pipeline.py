@@ -18,8 +18,9 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = quality.verdicts(docs, read(spark, sf_dir, "labels"))
-    return out.where("kept").select(*docs.columns)
+    # the row travels whole, so columns that bear a figure's name stay as they are
+    rows = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return quality.verdicts(rows, read(spark, sf_dir, "labels"), keep_text=False).where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

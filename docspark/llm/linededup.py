@@ -123,10 +123,10 @@ def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, id_col:
     drops = dropped_lines(docs, batches, min_chars, id_col, text_col)
     text = text_or_empty(text_col)
     keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col), F.lit(LAST_ID))).withColumn("__th", F.xxhash64(text))
-    right = drops.select(F.col("doc").alias("__d"), F.col("th").alias("__t"), "drops").hint("shuffle_hash")
+    right = drops.select(F.col("doc").alias("__d"), F.col("th").alias("__t"), F.col("drops").alias("__drops")).hint("shuffle_hash")
     joined = keyed.join(right, (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
     none = F.array().cast("array<int>")
-    lines, drops_ = split_lines(text), F.coalesce(F.col("drops"), none)
+    lines, drops_ = split_lines(text), F.coalesce(F.col("__drops"), none)
     out = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     kept = F.when(F.size(drops_) == 0, text).otherwise(F.array_join(_kept(lines, drops_), "\n"))
     return joined.select(*out, kept.alias(text_col), F.size(lines).cast("long").alias("n_lines"), F.size(drops_).cast("long").alias("n_dropped"))
