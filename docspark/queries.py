@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.functions import clocks, topics, vectors
+from docspark.functions import clocks, documents, topics, vectors
 from docspark.operators import changes, replication, search, sessions
 from docspark.sources.collection import Collection
 from docspark.streaming import live
@@ -408,3 +408,68 @@ def explain_strategy(spark, sf_dir):
     return spark.createDataFrame([(c.plan("SELECT id FROM orders" + (f" WHERE {w}" if w else "")).strategy(),) for w in asked], "strategy string")
 
 
+
+
+# sets of ids, statistics and smaller operators
+
+
+def _ids(spark, sf_dir, condition: list) -> DataFrame:
+    return Collection.typed(load(spark, sf_dir, "orders"), "o_orderkey").find({"where": [condition], "include_docs": False})
+
+
+@register("ids_intersect", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'")
+def ids_intersect(spark, sf_dir):
+    return _ids(spark, sf_dir, ["path", ["o_orderstatus"], "F"]).intersect(_ids(spark, sf_dir, ["path", ["o_orderpriority"], "2-HIGH"]))
+
+
+@register("ids_union", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '2-HIGH'")
+def ids_union(spark, sf_dir):
+    return _ids(spark, sf_dir, ["path", ["o_orderstatus"], "P"]).union(_ids(spark, sf_dir, ["path", ["o_orderpriority"], "2-HIGH"])).distinct()
+
+
+@register("ids_difference", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '2-HIGH'")
+def ids_difference(spark, sf_dir):
+    return _ids(spark, sf_dir, ["path", ["o_orderstatus"], "P"]).subtract(_ids(spark, sf_dir, ["path", ["o_orderpriority"], "2-HIGH"]))
+
+
+@register("path_cardinality", "SELECT 'event_type/' || event_type AS topic, count(*) AS n FROM events GROUP BY event_type")
+def path_cardinality(spark, sf_dir):
+    t = load(spark, sf_dir, "events").select(F.explode(topics.of_fields({"event_type": F.col("event_type")})).alias("topic"))
+    return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("embedding_policy_text", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = '' THEN c_name ELSE c_name || ' / ' || c_mktsegment END AS text FROM customer")
+def embedding_policy_text(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), search.policy_text(["c_name", "c_mktsegment"], " / ").alias("text"))
+
+
+def _attachments(spark, sf_dir) -> DataFrame:
+    p = load(spark, sf_dir, "pages")
+    return p.select(F.concat(F.lit("site"), (F.col("page_id") % 10).cast("string")).alias("id"), (F.col("page_id") % 3).cast("string").alias("name"), F.sha2("html", 256).alias("digest"), F.col("page_id").alias("hlc"))
+
+
+_ATTACHED = "a AS (SELECT 'site' || (page_id % 10) AS id, CAST(page_id % 3 AS VARCHAR) AS name, sha256(html) AS digest, page_id AS hlc FROM pages)"
+
+
+@register("attachment_diff", f"WITH {_ATTACHED} SELECT * FROM a s WHERE NOT EXISTS (SELECT 1 FROM a t WHERE t.id = s.id AND t.name = s.name AND t.digest = s.digest AND t.hlc < 100)")
+def attachment_diff(spark, sf_dir):
+    a = _attachments(spark, sf_dir)
+    return replication.attachment_diff(a, a.where("hlc < 100"))
+
+
+@register("attachment_latest", f"WITH {_ATTACHED} SELECT id, name, max(hlc) AS hlc FROM a GROUP BY id, name")
+def attachment_latest(spark, sf_dir):
+    return replication.latest_attachments(_attachments(spark, sf_dir)).select("id", "name", "hlc")
+
+
+@register("doc_update", "SELECT c_custkey AS id, c_mktsegment || '!' AS seg, 1 AS n FROM customer")
+def doc_update(spark, sf_dir):
+    m = F.create_map(F.lit("seg"), F.col("c_mktsegment"), F.lit("gone"), F.col("c_name"))
+    new = documents.update(documents.remove(m, "gone"), "seg", lambda v: F.concat(v, F.lit("!")))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.try_element_at(new, F.lit("seg")).alias("seg"), documents.size(new).alias("n"))
+
+
+@register("conflicts_fold", f"SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, event_type AS body FROM {_LATEST}")
+def conflicts_fold(spark, sf_dir):
+    v = event_versions(spark, sf_dir).withColumn("vv", F.lit("{}"))
+    return replication.apply_versions(v).select("id", "hlc", "body")
