@@ -2,7 +2,7 @@
 
 The log is a table of events (conv_id, msg, seq, kind, role, text) dealt by
 conversation and sorted by message and sequence. Each message is folded while its
-events stream by: ``message`` sets role and text, ``delta`` appends, ``edit`` replaces
+events stream by: ``message`` begins one with its role and text, ``delta`` appends, ``edit`` replaces
 the text, ``regenerate`` clears it for the deltas that follow, ``delete`` removes the
 message. Finished messages are rendered at once, so a task holds one message and running
 digests whatever the length of a conversation.
@@ -13,8 +13,8 @@ appear in them and unescaping gives the text back; roles also have backslashes a
 breaks escaped. The loss mask covers the text of assistant messages.
 
 Defined cases: null role and text are empty; a null conv_id is one conversation of its
-own; events with equal (conv_id, msg, seq) are ordered by kind, role and text; an unknown
-kind is an error; conversations whose messages are all deleted give no row; further
+own; events with equal (conv_id, msg, seq) are ordered by kind, role and text; a second
+``message`` under one number begins another message; an unknown kind is an error; conversations whose messages are all deleted give no row; further
 columns are ignored; an empty log gives an empty result.
 """
 
@@ -77,6 +77,8 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 live, role, parts = False, "", []
             at = (conv, msg)
             if kind == "message":
+                if live:
+                    yield *at, role, "".join(parts)
                 live, role, parts = True, r or "", [t or ""]
             elif kind == "delta":
                 live, role = True, role or r or ""
