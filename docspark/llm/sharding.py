@@ -5,7 +5,7 @@ gathered in 65,536 cells by the top bits of that hash, so a cell is a run of who
 groups and the ordered list of atomic sizes has a fixed length at any input size.
 Cells larger than an even share come first and each fill a shard of their own; over
 the rest, in hash order, the smallest feasible capacity is found by binary search
-with a greedy check, and the cuts are made there.
+with a greedy check, and the cuts are made under it, as near to even shares as it allows.
 
 Defined cases: a null text has no bytes and belongs with the empty text; a null
 doc_id is kept and sorts first; equal rows get slots of their own; an empty table
@@ -15,7 +15,7 @@ than the shards leaves the last shards empty.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +50,28 @@ def minimax(sizes: list[int], shards: int) -> tuple[int, list[int]]:
             low = mid + 1
         else:
             high = mid
-    return low, greedy_cuts(sizes, low, shards)
+    return low, even_cuts(sizes, low, shards)
+
+
+def even_cuts(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """Cuts under a feasible capacity, each the allowed one nearest to an even share, so that the last shards are not left short.
+
+    A cut is allowed if its shard fits the capacity and the rest still fits the shards after it.
+    """
+    prefix = [0, *accumulate(sizes)]
+    earliest = [len(sizes)]
+    for _ in range(shards - 1):
+        earliest.append(bisect_left(prefix, prefix[earliest[-1]] - capacity))
+    earliest.reverse()
+    cuts, at = [], 0
+    for k in range(shards - 1):
+        want = bisect_left(prefix, prefix[-1] * (k + 1) / shards)
+        if want and prefix[want] + prefix[want - 1] > 2 * prefix[-1] * (k + 1) / shards:
+            want -= 1
+        latest = bisect_right(prefix, prefix[at] + capacity) - 1
+        at = min(max(want, earliest[k], at), latest)
+        cuts.append(at)
+    return [c for c in cuts if c < len(sizes)]
 
 
 def plan(cells: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int], int]:

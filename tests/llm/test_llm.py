@@ -438,6 +438,8 @@ def test_minimax():
         assert fits(sizes, c, k) and not fits(sizes, c - 1, k)
         parts = [sizes[a:b] for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)]
         assert max(map(sum, parts)) <= c and len(parts) <= k
+    cuts = sharding.minimax([5] * 10, 4)[1]
+    assert sorted(b - a for a, b in zip([0, *cuts], [*cuts, 10], strict=True)) == [2, 2, 3, 3]
 
 
 def test_sharding(docs, spark, empty):
