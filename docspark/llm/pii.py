@@ -231,7 +231,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, base and spans: arrays of (start, kind, end) sorted; kind indexes KINDS."""
     scratch = Scratch(docs.sparkSession, "pii")
     clean = F.translate(text_or_empty(text_col), OPEN + CLOSE, OTHER + OTHER)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(clean), F.lit(2)).cast("int").alias("fold"), F.explode(F.array(F.struct(candidates(clean).alias("c")))).alias("x"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(text_or_empty(text_col)), F.lit(2)).cast("int").alias("fold"), F.explode(F.array(F.struct(let(clean, candidates).alias("c")))).alias("x"))
     rows = scratch.save(rows.select("doc_id", "fold", F.col("x.c").alias("found")), "candidates")
     some = rows.where(F.size("found") > 0).select("fold", "found", F.explode("found").alias("c"))
     positive = F.when(F.col("c.kind") < 4, F.col("c.valid")).when(F.col("c.kind") == KINDS.index("secret"), F.col("c.key")).otherwise(_inside_valid(F.col("c"), F.col("found")))
