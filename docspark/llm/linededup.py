@@ -50,12 +50,12 @@ class LineIndex:
     def runs(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
-    def owners(self) -> DataFrame | None:
-        """(h1, h2, owner) of every key seen so far; runs share no key."""
-        out = None
-        for t in self.runs():
-            out = self.spark.table(t) if out is None else out.unionByName(self.spark.table(t))
-        return out
+    def owners(self) -> DataFrame:
+        """(h1, h2, owner) of every key seen so far; runs share no key.
+
+        Read as plain files: a join with it shuffles both sides, so the lines of a very common key can be split.
+        """
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*[f"{self.scratch.root}/{t}" for t in self.runs()])
 
     def add(self, keys: DataFrame) -> None:
         """keys: h1, h2, owner, one row per key of the batch."""
