@@ -211,12 +211,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     classes = scratch.save(classes, "classes")
     reps = signed.join(classes.select(F.col("digest").alias("__g"), "rep"), (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["digest", "rep"]).select("rep", "sketch", "bands")
     reps = scratch.save(reps, "reps")
-    band = reps.select("rep", "sketch", F.posexplode("bands").alias("band", "key"))
+    band = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     mean = percent / 100
     least = mean + (1 - mean) / 256
     least_equal = max(1, int(HASHES * (least - 5 * (least * (1 - least) / HASHES) ** 0.5)))
-    shared = _block_pairs(band, ["band", "key"], buckets, BUCKET_BLOCK)
+    # sketches join only the few rows whose bucket has company
+    shared = _block_pairs(band, ["band", "key"], buckets, BUCKET_BLOCK).join(reps.select("rep", "sketch"), "rep")
     shared = shared.select("band", "key", "bi", "bj", "rep", "sketch").repartition("band", "key", "bi", "bj").sortWithinPartitions("band", "key", "bi", "bj")
     likely = shared.mapInArrow(_bucket_edges(least_equal), "u long, v long")
     family = scratch.save(components(scratch, likely, "family"), "families")
