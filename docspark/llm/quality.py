@@ -1,26 +1,28 @@
 """Quality rules with risk-controlled thresholds.
 
-Fixed rules reject very short and very repetitive texts. For every other rule a
-cutoff is chosen per stratum from labelled documents: going from the most lenient
-cutoff of a fixed grid to the strictest, the exact binomial test rejects "this cutoff
-loses more than alpha of the good documents" when P(X <= k | n, alpha) <= delta / m,
-where k of the stratum's n good documents would be lost. m counts all cutoffs of all
-rules and strata (Bonferroni), and alpha is the total risk divided by the number of
-rules, so with probability 1 - delta no stratum loses more than the total. The
-strictest cutoff that passes together with all more lenient ones is used; without one
-the rule is off, as in strata with too few labels.
+Fixed rules reject very short and very repetitive texts. The other rules' cutoffs are
+chosen per stratum from labelled good documents. A hashed quarter of them orders all steps
+(rule, cutoff) of a fixed grid by the documents each would lose, lenient before strict.
+The other three quarters walk that path as a fixed sequence: each step tightens one rule,
+and the exact binomial test rejects "all rules together lose more than the risk" when
+P(X <= k | n, risk) <= delta / m, where k of the n documents would be lost to any rule. The
+first step that fails ends the walk, so nothing is corrected over the grid; m counts the
+strata, so with probability 1 - delta none loses more than the risk. Null strata and those
+with too few labels to certify even a lossless step are pooled in one fallback stratum,
+which unseen strata use too; if the pool is still too small, its learned rules are off.
 
 Word repeats are counted inside the row: hashes of all 3-word windows are sorted, and
 only texts with a repeat map them back to positions, so nothing is shuffled.
 
-Defined cases: null text has no words and fails; a null or unseen stratum uses no
-learned cutoff; labels for absent documents or with null quality are ignored; several
+Defined cases: null text has no words and fails; labels for absent documents or with null quality are ignored; several
 labels of a document count one by one; no labels at all leave the fixed rules; an empty
 table gives an empty result; further columns are untouched.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from docspark.llm.common import SPACES, Scratch, let, strip_ascii, text_or_empty
 SYMBOLS = "#*$%&|<>"
 FEW_REPEATS = 64
 BROADCAST_STRATA = 10_000
+#: One in so many labelled documents orders the steps; the others certify them.
+ORDERING = 4
 #: Rules on share-like figures, and the grid of cutoffs from lenient to strict: reject above the cutoff.
 RULES = ("symbol_share", "shout_share", "repeat_share", "dup_line_share", "mean_word")
 GRID = {
@@ -116,19 +120,49 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.least(F.exp(F.aggregate(terms, start, step, lambda a: a["sum"])), F.lit(1.0))
 
 
-def cutoffs(labelled: DataFrame, stratum: str, risk: float, delta: float) -> DataFrame:
-    """stratum and one chosen cutoff per rule (null: off). labelled: rule figures of good documents."""
-    counts = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID[r])]
-    table = labelled.groupBy(F.col(stratum).alias("__stratum")).agg(F.count(F.lit(1)).alias("n"), *counts).where("__stratum IS NOT NULL")
-    tests = max(1, table.count()) * sum(len(g) for g in GRID.values())
-    alpha, level = risk / len(RULES), delta / tests
-    tried = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i in range(len(GRID[r]))])
-    rows = table.select("__stratum", "n", F.inline(tried))
+def _own_strata(sizes: list[tuple[int, int]], pooled: bool, risk: float, delta: float) -> tuple[int, float]:
+    """Labels from which a stratum is tested on its own, and the level of each test. sizes: (labels, strata of that size)."""
+    left, own, least = sum(c for _, c in sizes), 0, 1 << 62
+    for n, c in sorted(sizes, reverse=True):
+        tests = own + c + (pooled or left > own + c)
+        if n * math.log1p(-risk) > math.log(delta / tests):
+            break
+        own, least = own + c, n
+    return least, delta / max(1, own + (pooled or left > own))
+
+
+def cutoffs(labelled: DataFrame, stratum: str, risk: float, delta: float, key: Column | None = None) -> DataFrame:
+    """stratum (null: the fallback) and one chosen cutoff per rule (null: off). labelled: rule figures of good documents; key deals them (none: by row)."""
+    scratch = Scratch(labelled.sparkSession, "cutoffs")
+    steps = [(r, i) for r in RULES for i in range(len(GRID[r]))]
+    key = F.monotonically_increasing_id() if key is None else key
+    # a document's first rejecting cutoff in each rule says all: the cells of these are few
+    first = [sum(((F.col(r) <= c).cast("int") for c in GRID[r]), F.lit(0)).alias(f"__first_{r}") for r in RULES]
+    dealt = labelled.select(F.col(stratum).alias("__stratum"), (F.pmod(F.xxhash64(key, F.lit("order")), F.lit(ORDERING)) == 0).alias("__orders"), *first)
+    cells = scratch.save(dealt.groupBy(*dealt.columns).agg(F.count(F.lit(1)).alias("n")), "cells")
+    held = F.when(~F.col("__orders"), F.col("n")).otherwise(0)
+    strata = cells.groupBy("__stratum").agg(F.sum(held).alias("__held"))
+    sizes = strata.groupBy(F.col("__stratum").isNull(), "__held").count().collect()  # distinct sizes: about the root of the labels
+    least, level = _own_strata([(n, c) for null, n, c in sizes if not null], any(null for null, *_ in sizes), risk, delta)
+    strata = strata.select("__stratum", F.when(F.col("__held") >= least, F.col("__stratum")).alias("__group"))
+    cells = cells.withColumnRenamed("__stratum", "__of").join(strata, F.col("__of").eqNullSafe(F.col("__stratum")))
+
+    lost = lambda r, i: F.sum(F.when(F.col("__orders") & (F.col(f"__first_{r}") <= i), F.col("n")).otherwise(0))
+    path = cells.groupBy("__group").agg(F.sort_array(F.array(*[F.struct(lost(r, i).alias("k"), F.lit(i).alias("i"), F.lit(RULES.index(r)).alias("r")) for r, i in steps])).alias("__path"))
+    at = lambda r, i: F.array_position(F.transform("__path", lambda x: x["r"] * 100 + x["i"]), F.lit(RULES.index(r) * 100 + i)).cast("int")
+    path = path.select(F.col("__group").alias("__key"), *[F.array(*[at(r, i) for i in range(len(GRID[r]))]).alias(f"__at_{r}") for r in RULES])
+    end = F.lit(len(steps) + 1)
+    falls = F.least(*[F.coalesce(F.get(f"__at_{r}", F.col(f"__first_{r}")), end) for r in RULES])
+    walk = cells.where(~F.col("__orders")).join(path, F.col("__group").eqNullSafe(F.col("__key"))).withColumn("__falls", falls)
+    counts = [F.sum(F.when(F.col("__falls") <= t + 1, F.col("n")).otherwise(0)).alias(f"k{t}") for t in range(len(steps))]
+    walk = walk.groupBy("__group").agg(F.sum("n").alias("n"), *counts)
+    rows = walk.select("__group", "n", F.posexplode(F.array(*[f"k{t}" for t in range(len(steps))])).alias("t", "k"))
     # beyond its mean the tail is over one half, so only small k need summing
-    passed = (F.col("k") <= F.col("n") * alpha) & (binomial_tail(F.least(F.col("k"), (F.col("n") * alpha).cast("long") + 1), F.col("n"), alpha) <= level)
-    steps = rows.groupBy("__stratum", "rule").agg(F.coalesce(F.min(F.when(~passed, F.col("i"))), F.max("i") + 1).alias("good"))
-    cut = lambda r: F.max(F.when((F.col("rule") == r) & (F.col("good") > 0), F.element_at(F.array(*[F.lit(c) for c in GRID[r]]), F.greatest(F.col("good"), F.lit(1)))))
-    return steps.groupBy("__stratum").agg(*[cut(r).alias(f"__cut_{r}") for r in RULES])
+    passed = (F.col("k") <= F.col("n") * risk) & (binomial_tail(F.least(F.col("k"), (F.col("n") * risk).cast("long") + 1), F.col("n"), risk) <= level)
+    good = rows.groupBy("__group").agg(F.coalesce(F.min(F.when(~passed, F.col("t"))), F.lit(len(steps))).alias("__good"))
+    cut = lambda r: F.get(F.array(*[F.lit(c) for c in GRID[r]]), F.size(F.filter(f"__at_{r}", lambda p: p <= F.col("__good"))) - 1)
+    chosen = path.join(good, F.col("__key").eqNullSafe(F.col("__group")), "left").select("__key", *[cut(r).alias(f"__cut_{r}") for r in RULES])
+    return strata.where("__stratum IS NOT NULL").join(chosen, F.col("__group").eqNullSafe(F.col("__key"))).drop("__group", "__key").unionByName(chosen.where("__key IS NULL").withColumnRenamed("__key", "__stratum"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -138,12 +172,15 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     figures = scratch.save(figures if keep_text else figures.drop(text_col), "figures")
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__id"))
     passed = figures.where(~F.col("base_failed")).select(F.col(id_col).alias("__doc"), F.col(stratum), *RULES)
-    chosen = cutoffs(passed.join(good, F.col("__doc") == F.col("__id")), stratum, risk, delta)
+    chosen = cutoffs(passed.join(good, F.col("__doc") == F.col("__id")), stratum, risk, delta, F.col("__doc"))
     chosen = scratch.save(chosen, "cutoffs")
+    fallback = chosen.where("__stratum IS NULL").first()
+    chosen = chosen.where("__stratum IS NOT NULL")
     if chosen.count() <= BROADCAST_STRATA:
         chosen = F.broadcast(chosen)
     joined = figures.join(chosen, F.col(stratum) == F.col("__stratum"), "left")
     bad = F.col("base_failed")
     for r in RULES:
-        bad = bad | F.coalesce(F.col(r) > F.col(f"__cut_{r}"), F.lit(False))
+        cut = F.when(F.col("__stratum").isNotNull(), F.col(f"__cut_{r}")).otherwise(F.lit(fallback and fallback[f"__cut_{r}"]).cast("double"))
+        bad = bad | F.coalesce(F.col(r) > cut, F.lit(False))
     return joined.withColumn("kept", ~bad).drop("__stratum", *[f"__cut_{r}" for r in RULES])

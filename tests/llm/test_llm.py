@@ -550,6 +550,25 @@ def test_learned_cutoff_rejects(spark):
     assert not kept & {b[0] for b in bad} and len(kept) == len(good)
 
 
+def test_cutoffs_from_few_labels(spark):
+    strata = ["en"] * 400 + ["fr"] * 130 + ["de"] * 130 + [None] * 130
+    good = [(i, prose(60, f"c{i}"), s) for i, s in enumerate(strata)]
+    bad = [(9000 + i, prose(60, f"b{i}").replace(" ", "*** "), s) for i, s in enumerate(["en", "fr", "de", None, "unseen"])]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(g[0], 1) for g in good], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.verdicts(docs, labels).where("kept").collect()}
+    assert kept == {g[0] for g in good}
+
+
+def test_cutoffs_bound_the_joint_loss(spark):
+    # each rule alone would lose 1.5 % at its strictest cutoff, all together 7.5 %
+    lost = lambda r, c: f"if(id % 200 IN ({3 * r}, {3 * r + 1}, {3 * r + 2}), {c}, 0.0D) AS {quality.RULES[r]}"
+    good = spark.range(8000).selectExpr("'en' AS lang", *[lost(r, (quality.GRID[n][-1] + quality.GRID[n][-2]) / 2) for r, n in enumerate(quality.RULES)])
+    cut = table(quality.cutoffs(good, "lang", 0.02, 0.05), "__stratum")["en"]
+    got = {n: cut[f"__cut_{n}"] for n in quality.RULES}
+    assert sum(got[n] == quality.GRID[n][-1] for n in got) == 1 and sum(got[n] == quality.GRID[n][-2] for n in got) == 4
+
+
 # the pipeline
 
 
