@@ -4,10 +4,10 @@ Generators of high recall propose spans: e-mail addresses, IP addresses, card nu
 international phone numbers, any long digit string with separators, and any long token.
 The first four are settled by their own tests (parts, Luhn, digit counts): a span that
 passes is always redacted. All candidates get format and context features of small finite
-domains, so the training table is the exact contingency table over all documents, at most
-a few thousand cells. Depth-2 trees are boosted on the logistic loss over one half of the
-documents; on the other half each kind's cutoff is set to the lowest score whose selected
-candidates still hold PRECISION positives. Labels are the tests' outcomes, for digit strings
+domains, so the training table is the exact contingency table over all distinct texts, at
+most a few thousand cells. Depth-2 trees are boosted on the logistic loss over each hashed
+half of the texts and score the other half; each kind's cutoff is the lowest score whose
+selected candidates of both halves together still hold PRECISION positives. Labels are the tests' outcomes, for digit strings
 whether they lie in a tested span, and for tokens a strict form of key in an assignment;
 features never include the tests. Candidates over the cutoff join the redactions.
 
@@ -16,8 +16,9 @@ where a run starts, so their time is linear in the text and they never recurse.
 
 Defined cases: null text is empty and has no spans; positions are code points, end
 exclusive; equal rows give equal results; the control characters U+0001 and U+0002 are
-ordinary characters of no kind; an empty table gives an empty result; without candidates of
-both classes no span is added; further columns are ignored.
+ordinary characters of no kind; an empty table gives an empty result; copies of a text count
+once in the table; where a half lacks a class, trees over both stand in for its own; without
+candidates of both classes no span is added; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def _candidate(kind: str, x: Column) -> Column:
     n, digits = F.char_length(m), F.char_length(F.regexp_replace(m, "[^0-9]", ""))
     last = F.right(before, F.lit(1))
     mix = F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("^[0-9A-Fa-f]+$"), 1).when(m.rlike("[0-9]"), 2).otherwise(3)
-    key = (digits > 0) & (m.rlike("^[0-9a-f]{32,}$") | (m.rlike("[a-z]") & m.rlike("[A-Z]"))) & before.rlike("[=:][\\x20\"']*$")
+    key = (digits > 0) & (m.rlike("^[0-9A-Fa-f]{32,}$") | (m.rlike("[a-z]") & m.rlike("[A-Z]"))) & before.rlike("[=:][\\x20\"']*$")
     return F.struct(
         x["start"].alias("start"),
         F.lit(KINDS.index(kind)).alias("kind"),
@@ -162,7 +163,9 @@ def fit(cells: list[tuple[tuple[int, ...], float, float]]) -> list:
     total, pos = sum(n for _, n, _ in cells), sum(p for _, _, p in cells)
     if not 0 < pos < total:
         return []
-    scores, trees, tests = [math.log(pos / (total - pos))] * len(cells), [], _tests()
+    prior, tests = math.log(pos / (total - pos)), _tests()
+    same = (tests[0], prior, prior)
+    scores, trees = [prior] * len(cells), [(tests[0], same, same)]  # the prior is a tree too, so scores of both halves' trees compare
     side = {t: [_goes(c, t) for c, _, _ in cells] for t in tests}
 
     def best(rows: list[int], g: list[float], h: list[float]) -> tuple[float, tuple, float, float]:
@@ -192,6 +195,14 @@ def fit(cells: list[tuple[tuple[int, ...], float, float]]) -> list:
     return trees
 
 
+def _merged(cells: list[tuple[tuple[int, ...], float, float]]) -> list[tuple[tuple[int, ...], float, float]]:
+    sums: dict[tuple[int, ...], tuple[float, float]] = {}
+    for c, n, p in cells:
+        a, b = sums.get(c, (0.0, 0.0))
+        sums[c] = (a + n, b + p)
+    return [(c, *s) for c, s in sorted(sums.items())]
+
+
 def raw_score(trees: list, cell: tuple[int, ...]) -> float:
     out = 0.0
     for top, yes, no in trees:
@@ -200,11 +211,11 @@ def raw_score(trees: list, cell: tuple[int, ...]) -> float:
     return out
 
 
-def calibrate(trees: list, cells: list[tuple[tuple[int, ...], float, float]]) -> dict[int, float]:
-    """Per kind the lowest score at and above which at least PRECISION of the held-out candidates are positive."""
+def calibrate(halves: list[tuple[list, list[tuple[tuple[int, ...], float, float]]]]) -> dict[int, float]:
+    """Per kind the lowest score at and above which at least PRECISION of the candidates are positive. halves: trees of the other half, cells."""
     out = {}
     for kind in range(len(KINDS)):
-        ranked = sorted(((raw_score(trees, c), n, p) for c, n, p in cells if c[0] == kind), reverse=True)
+        ranked = sorted(((raw_score(trees, c), n, p) for trees, cells in halves for c, n, p in cells if c[0] == kind), reverse=True)
         n = pos = 0.0
         for i, (s, cn, cp) in enumerate(ranked):
             n, pos = n + cn, pos + cp
@@ -231,29 +242,30 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, base and spans: arrays of (start, kind, end) sorted; kind indexes KINDS."""
     scratch = Scratch(docs.sparkSession, "pii")
     clean = F.translate(text_or_empty(text_col), OPEN + CLOSE, OTHER + OTHER)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(text_or_empty(text_col)), F.lit(2)).cast("int").alias("fold"), F.explode(F.array(F.struct(let(clean, candidates).alias("c")))).alias("x"))
-    rows = scratch.save(rows.select("doc_id", "fold", F.col("x.c").alias("found")), "candidates")
-    some = rows.where(F.size("found") > 0).select("fold", "found", F.explode("found").alias("c"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array(F.struct(let(clean, candidates).alias("c")))).alias("x"))
+    rows = scratch.save(rows.select("doc_id", "copy", F.col("x.c").alias("found")), "candidates")
+    fold = F.pmod("copy", F.lit(2)).cast("int")
+    some = rows.where(F.size("found") > 0).dropDuplicates(["copy"]).select(fold.alias("fold"), "found", F.explode("found").alias("c"))
     positive = F.when(F.col("c.kind") < 4, F.col("c.valid")).when(F.col("c.kind") == KINDS.index("secret"), F.col("c.key")).otherwise(_inside_valid(F.col("c"), F.col("found")))
     table = some.select("fold", positive.cast("int").alias("positive"), *[F.col(f"c.{f}").alias(f) for f in FEATURES]).groupBy("fold", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("p"))
     halves: dict[int, list] = {0: [], 1: []}
     for r in table.collect():  # at most 2 x prod(SIZES) cells
         halves[r["fold"]].append((tuple(r[f] for f in FEATURES), float(r["n"]), float(r["p"])))
-    trees = fit(sorted(halves[0]))
-    cuts = calibrate(trees, sorted(halves[1]))
+    both = [fit(sorted(halves[1 - f])) or fit(_merged(halves[0] + halves[1])) for f in (0, 1)]
+    cuts = calibrate([(both[f], sorted(halves[f])) for f in (0, 1)]) if all(both) else {}
     added = F.array().cast(CANDIDATES)
     if cuts:
-        added = F.filter("found", lambda c: ~(c["valid"] & (c["kind"] < 4)) & _over(trees, cuts, c) & ~_inside_valid(c, F.col("found")))
+        added = F.filter("found", lambda c: ~(c["valid"] & (c["kind"] < 4)) & _over(both, fold, cuts, c) & ~_inside_valid(c, F.col("found")))
     slim = lambda a: F.transform(a, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     base = slim(F.filter("found", lambda c: c["valid"] & (c["kind"] < 4)))
     return rows.select("doc_id", F.sort_array(base).alias("base"), F.sort_array(F.concat(base, slim(added))).alias("spans"))
 
 
-def _over(trees: list, cuts: dict[int, float], c: Column) -> Column:
+def _over(both: list[list], fold: Column, cuts: dict[int, float], c: Column) -> Column:
     cut = F.lit(float("inf"))
     for kind, s in cuts.items():
         cut = F.when(c["kind"] == kind, F.lit(s)).otherwise(cut)
-    return _score_column(trees, c) >= cut - F.lit(1e-9)
+    return F.when(fold == 0, _score_column(both[0], c)).otherwise(_score_column(both[1], c)) >= cut - F.lit(1e-9)
 
 
 def listed(a: Column) -> Column:

@@ -416,6 +416,19 @@ def test_pii_adds_keys_and_redacts(spark):
     assert red[1]["text"] == 'say 1 token = "[secret]" end' and red[2]["text"].endswith("2 [email] end")
 
 
+def test_pii_keys_of_either_case_and_copies(spark):
+    r = random.Random(2)
+    token = lambda n, digits: "".join(r.choice(digits) for _ in range(n))
+    texts = [f'say {i} token = "{token(40, "0123456789abcdef")}" end' for i in range(60)] + [f'SAY {i} TOKEN = "{token(40, "0123456789ABCDEF")}" END' for i in range(20)]
+    texts += [f"path /{'-'.join(['word'] * 6)}/ {i} end" for i in range(40)]
+    got = table(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [i for i in got if 5 in [x[1] for x in got[i]["spans"]]] == [i for i in got if i < 80]
+    # look-alikes too short for keys, each copied ten times, share the keys' features
+    texts = [f'say {i} token = "{token(32, "0123456789abcdef")}" end' for i in range(100)] + [f'say {i} token = "{token(30, "0123456789abcdef")}" end' for i in range(4)] * 10
+    got = table(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert all(5 in [x[1] for x in got[i]["spans"]] for i in range(100))
+
+
 # 8
 
 
