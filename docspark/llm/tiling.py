@@ -11,10 +11,12 @@ threshold are contaminated.
 Words are runs of digits, a-z (after lower-casing) and non-ASCII characters.
 
 The items are read in blocks of a fixed size and each block's seeds are sent to all
-tasks, a bounded broadcast; documents are never shuffled unless there are several blocks.
+tasks, a bounded broadcast; each row passes the blocks one after the other and gathers its
+items, so documents are never shuffled and each row gives one row.
 
 Defined cases: null or empty texts, documents or items, share nothing; an item of fewer
-than MIN_MATCH words has no seeds; equal items count one by one; an empty benchmark
+than MIN_MATCH words has no seeds; equal items count one by one; of equally covered items the
+least id is best_item; null or repeated document ids stay rows of their own; an empty benchmark
 leaves everything clean; further columns are ignored.
 """
 
@@ -108,13 +110,20 @@ def tile(pairs: list[tuple[int, int]], k: int) -> int:
     return len(item_used)
 
 
-def _scan_batches(seeds, threshold: float):
+def _better(a: tuple[float, int | None], b: tuple[float, int | None]) -> tuple[float, int | None]:
+    return max(a, b, key=lambda x: (x[0], x[1] is not None, -(x[1] or 0)))
+
+
+def _scan_batches(seeds, threshold: float, carry: bool = False):
+    """Adds a block's findings to those of the blocks before, if any; carry: with the text, for the next block."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.value
         for batch in batches:
-            texts = [(t.as_py() or "").encode().lower().translate(PLAIN) for t in batch.column(1)]
-            items: list[list[int]] = [[] for _ in texts]
-            best: list[tuple[float, int | None]] = [(0.0, None)] * len(texts)
+            texts = [(t.as_py() or "").encode().lower().translate(PLAIN) for t in batch.column("text")]
+            later = "items" in batch.schema.names
+            items: list[list[int]] = batch.column("items").to_pylist() if later else [[] for _ in texts]
+            best: list[tuple[float, int | None]] = list(zip(batch.column("coverage").to_pylist(), batch.column("best_item").to_pylist(), strict=True)) if later else [(0.0, None)] * len(texts)
             for first, last in chunks(texts):
                 data, begins = joined(texts[first:last])
                 words, starts, _ = word_hashes(data, data != 32)
@@ -130,10 +139,12 @@ def _scan_batches(seeds, threshold: float):
                         w += 1
                 for (d, n), found in pairs.items():
                     share = tile(found, s.k) / s.lengths[n]
-                    best[first + d] = max(best[first + d], (share, s.ids[n]), key=lambda x: (x[0], -(x[1] if x[1] is not None else 1 << 62)))
+                    best[first + d] = _better(best[first + d], (share, s.ids[n]))
                     if share >= threshold:
                         items[first + d].append(s.ids[n])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] for b in best], pa.int64())], ["doc_id", "items", "coverage", "best_item"])
+            columns = [batch.column("doc_id"), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] for b in best], pa.int64())]
+            names = ["doc_id", "items", "coverage", "best_item"]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("text")], [*names, "text"]) if carry else pa.RecordBatch.from_arrays(columns, names)
 
     return scan
 
@@ -171,11 +182,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, items (covered to the threshold), coverage and best_item of every document."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [slim.mapInArrow(_scan_batches(seeds, threshold), SCHEMA) for seeds in _blocks(docs, benchmark, min_match)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("coverage").alias("coverage"), F.max_by("best_item", "coverage").alias("best_item"))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = _blocks(docs, benchmark, min_match)
+    for i, seeds in enumerate(blocks):
+        carry = i + 1 < len(blocks)
+        out = out.mapInArrow(_scan_batches(seeds, threshold, carry), SCHEMA + ", text string" * carry)
+    return out

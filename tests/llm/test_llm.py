@@ -347,6 +347,18 @@ def test_tiling(docs, spark, empty):
     assert all(not r["items"] for r in tiling.contamination(docs, bench.limit(0)).collect())
 
 
+def test_tiling_in_blocks(docs, spark, monkeypatch):
+    # null and repeated ids, items tied for the best, and a repeated item
+    bench = spark.createDataFrame([*ITEMS, (9, ITEMS[0][1]), (5, ITEMS[0][1]), (1, ITEMS[1][1])], "item_id long, text string")
+    texts = [(None, ITEMS[0][1]), (None, ITEMS[1][1]), (None, "clean"), (7, ITEMS[0][1]), (7, ITEMS[1][1]), (7, None)]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
+    plain = lambda: collections.Counter((r["doc_id"], tuple(r["items"]), r["coverage"], r["best_item"]) for r in tiling.contamination(more, bench).collect())
+    one = plain()
+    assert one[(None, (0, 5, 9), 1.0, 0)] == 1 and one[(7, (1, 1), 1.0, 1)] == 1 and one.total() == len(rows()) + 6
+    monkeypatch.setattr(tiling, "BLOCK_ITEMS", 2)
+    assert plain() == one
+
+
 def plain_tiles(doc, item, k):
     used_d, used_i, total = set(), set(), 0
     while True:
