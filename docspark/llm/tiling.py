@@ -15,7 +15,9 @@ tasks, a bounded broadcast; each row passes the blocks one after the other and g
 items, so documents are never shuffled and each row gives one row.
 
 Defined cases: null or empty texts, documents or items, share nothing; an item of fewer
-than MIN_MATCH words has no seeds; equal items count one by one; of equally covered items the
+than MIN_MATCH words is one seed and its own least tile, so it is covered where it stands
+whole, and a one-word item covers every document with that word; an item with a null id is
+searched like others and listed as null, after all ids; equal items count one by one; of equally covered items the
 least id is best_item; null or repeated document ids stay rows of their own; an empty benchmark
 leaves everything clean; further columns are ignored.
 """
@@ -110,6 +112,14 @@ def tile(pairs: list[tuple[int, int]], k: int) -> int:
     return len(item_used)
 
 
+def seeds_by_length(items: list[tuple[int | None, str]], k: int) -> list[Seeds]:
+    """Seeds of k words, and of fewer for the items that are shorter."""
+    groups: dict[int, list[tuple[int | None, str]]] = {k: []}
+    for item in items:
+        groups.setdefault(min(k, len(plain_words(item[1])) or k), []).append(item)
+    return [Seeds(g, n) for n, g in groups.items()]
+
+
 def _better(a: tuple[float, int | None], b: tuple[float, int | None]) -> tuple[float, int | None]:
     return max(a, b, key=lambda x: (x[0], x[1] is not None, -(x[1] or 0)))
 
@@ -118,7 +128,6 @@ def _scan_batches(seeds, threshold: float, carry: bool = False):
     """Adds a block's findings to those of the blocks before, if any; carry: with the text, for the next block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = seeds.value
         for batch in batches:
             texts = [(t.as_py() or "").encode().lower().translate(PLAIN) for t in batch.column("text")]
             later = "items" in batch.schema.names
@@ -128,21 +137,22 @@ def _scan_batches(seeds, threshold: float, carry: bool = False):
                 data, begins = joined(texts[first:last])
                 words, starts, _ = word_hashes(data, data != 32)
                 doc = np.searchsorted(begins, starts, "right") - 1
-                at, where = s.hits(shingle_hashes(words, s.k))
-                inside = doc[at] == doc[at + s.k - 1] if len(at) else np.zeros(0, bool)
-                pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for p, w in zip(at[inside].tolist(), where[inside].tolist(), strict=True):
-                    d = int(doc[p])
-                    seed = s.hashes[w]
-                    while w < len(s.hashes) and s.hashes[w] == seed:
-                        pairs.setdefault((d, int(s.owner[w])), []).append((p, int(s.position[w])))
-                        w += 1
-                for (d, n), found in pairs.items():
-                    share = tile(found, s.k) / s.lengths[n]
-                    best[first + d] = _better(best[first + d], (share, s.ids[n]))
-                    if share >= threshold:
-                        items[first + d].append(s.ids[n])
-            columns = [batch.column("doc_id"), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] for b in best], pa.int64())]
+                for s in seeds.value:
+                    at, where = s.hits(shingle_hashes(words, s.k))
+                    inside = doc[at] == doc[at + s.k - 1] if len(at) else np.zeros(0, bool)
+                    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                    for p, w in zip(at[inside].tolist(), where[inside].tolist(), strict=True):
+                        d = int(doc[p])
+                        seed = s.hashes[w]
+                        while w < len(s.hashes) and s.hashes[w] == seed:
+                            pairs.setdefault((d, int(s.owner[w])), []).append((p, int(s.position[w])))
+                            w += 1
+                    for (d, n), found in pairs.items():
+                        share = tile(found, s.k) / s.lengths[n]
+                        best[first + d] = _better(best[first + d], (share, s.ids[n]))
+                        if share >= threshold:
+                            items[first + d].append(s.ids[n])
+            columns = [batch.column("doc_id"), pa.array([sorted(x, key=lambda i: (i is None, i or 0)) for x in items], pa.list_(pa.int64())), pa.array([b[0] for b in best], pa.float64()), pa.array([b[1] for b in best], pa.int64())]
             names = ["doc_id", "items", "coverage", "best_item"]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("text")], [*names, "text"]) if carry else pa.RecordBatch.from_arrays(columns, names)
 
@@ -158,7 +168,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, min_match: int) -> list:
     out = []
     for b in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        out.append(spark.sparkContext.broadcast(Seeds(sorted((r[0], r[1]) for r in block if r[0] is not None and r[1] is not None), min_match)))
+        out.append(spark.sparkContext.broadcast(seeds_by_length(sorted(((r[0], r[1]) for r in block if r[1] is not None), key=lambda x: (x[0] is None, x[0] or 0, x[1])), min_match)))
     return out
 
 

@@ -359,6 +359,14 @@ def test_tiling_in_blocks(docs, spark, monkeypatch):
     assert plain() == one
 
 
+def test_tiling_null_ids_and_short_items(spark):
+    bench = spark.createDataFrame([(None, ITEMS[0][1]), (4, ITEMS[1][1]), (2, "Short one."), (6, "")], "item_id long, text string")
+    texts = [f"x {ITEMS[0][1]} y", f"{ITEMS[1][1]} {ITEMS[0][1]}", "a short, one b", "short two one", "one short", "clean"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {i: r["items"] for i, r in table(tiling.contamination(docs, bench)).items()} == {0: [None], 1: [4, None], 2: [2], 3: [], 4: [], 5: []}
+    assert {r["doc_id"] for r in tiling.clean(docs, bench).collect()} == {3, 4, 5}
+
+
 def plain_tiles(doc, item, k):
     used_d, used_i, total = set(), set(), 0
     while True:
