@@ -89,11 +89,15 @@ class Scanner:
                     w.append([low, low + length + 2 * edits])
         out = []
         for n, spans in windows.items():
-            label, length, _, pattern = self.notices[n]
+            label, length, edits, pattern = self.notices[n]
             for low, high in _merged(spans):
-                low = max(low, 0)
-                for m in pattern.finditer(line[low:high]):
-                    out.append((label, low + m.start(), low + m.end(), sum(m.fuzzy_counts), length))
+                # the best match comes first, so what lies to both sides of it is searched again
+                parts = [(max(low, 0), high)]
+                while parts:
+                    low, high = parts.pop()
+                    if m := pattern.search(line[low:high]):
+                        out.append((label, low + m.start(), low + m.end(), sum(m.fuzzy_counts), length))
+                        parts += [(a, b) for a, b in ((low, low + m.start()), (low + m.end(), min(high, len(line)))) if b - a >= length - edits]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, text: str) -> tuple:

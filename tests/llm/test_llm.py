@@ -209,6 +209,13 @@ def test_license_edits():
     assert got[7] == [("mit", 7, 38, 0)]
 
 
+def test_license_repeats_back_to_back():
+    scanner = license.Scanner([("rights", "all rights reserved")])
+    one, worse = "all rights reserved", "all rights reservd"
+    line = " ".join([worse, one, worse, worse, one, one])
+    assert [(line[a:b].strip(), e) for _, a, b, e, _ in scanner.fuzzy(line)] == [(worse, 1), (one, 0), (worse, 1), (worse, 1), (one, 0), (one, 0)]
+
+
 # 4
 
 
