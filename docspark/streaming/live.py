@@ -124,13 +124,14 @@ def drain(events: DataFrame, handler: Callable[[DataFrame, int], None], checkpoi
     return events.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_batches(text_col: str, out_col: str, embed, save: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A handler that embeds the latest version of each changed document and saves the vectors."""
+def index_batches(text_col: str, out_col: str, embed, save: Callable[[DataFrame], None], remove: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A handler that embeds the latest version of each changed document and saves the vectors; remove gets the ids whose latest version is a tombstone."""
     from docspark.operators.changes import latest
     from docspark.operators.search import embed_column
 
     def handle(batch: DataFrame, _: int) -> None:
-        live_rows = latest(batch).where(~F.coalesce(F.col("deleted"), F.lit(False)))
-        save(embed_column(live_rows, text_col, out_col, embed))
+        rows, gone = latest(batch), F.coalesce(F.col("deleted"), F.lit(False))
+        remove(rows.where(gone).select("id"))
+        save(embed_column(rows.where(~gone), text_col, out_col, embed))
 
     return handle

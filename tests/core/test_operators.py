@@ -205,3 +205,11 @@ def test_sessions(spark):
     assert [r["text"] for r in sessions.messages(m, "s", order="desc", limit=1).collect()] == ["c"]
     s = spark.createDataFrame([("s", "x", 0), ("t", "y", 5_000_000)], "id string, agent string, touched long")
     assert [r["id"] for r in sessions.live_sessions(s, 4_000_000).collect()] == ["t"]
+
+
+def test_index_batches_removes_the_deleted(spark):
+    rows = [("a", 1, False, "x"), ("a", 2, True, None), ("b", 1, True, None), ("b", 2, None, "y"), ("c", 1, False, "z")]
+    saved, removed = [], []
+    handle = live.index_batches("text", "v", lambda t: [float(len(t))], lambda df: saved.extend(df.collect()), lambda df: removed.extend(df.collect()))
+    handle(spark.createDataFrame(rows, "id string, hlc long, deleted boolean, text string"), 0)
+    assert sorted((r["id"], r["v"]) for r in saved) == [("b", [1.0]), ("c", [1.0])] and [r["id"] for r in removed] == ["a"]
