@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _RNG = np.random.default_rng(20240229)
@@ -64,6 +66,15 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def space_cut(text: bytes, at: int) -> int:
+    """The first white space at or after a position, or the text's end."""
+    m = _SPACE.search(text, at) if at < len(text) else None
+    return m.start() if m else len(text)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
     """(first, last) index ranges of texts that fit in limit bytes together; a longer text stands alone."""
     first, size = 0, 0

@@ -1,6 +1,7 @@
 """Every operator against a plain version on a small fixture with nulls, ties, repeats, empty and long texts, and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -235,16 +236,26 @@ def test_ctw_base_and_order(docs, empty):
     assert ctw.score(empty).count() == 0
 
 
-def test_ctw_equals_plain_tree():
-    texts = [b"abracadabra", b"abrab", b""]
+@pytest.mark.parametrize("depth", [4, 5])
+def test_ctw_equals_plain_tree(spark, monkeypatch, depth):
+    """score through blocks, cells, salts and replies, against a tree written from its definition."""
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(ctw, "PIECE_BYTES", 7)
+    monkeypatch.setattr(ctw, "SALT_BLOCKS", 2)
+    monkeypatch.setattr(ctw, "SUBTREE_KEYS", 3)
+    texts = ["Abracadabra", "abrab brab", "", None, "abra cadabra cad bra", "brac", "é abra xyz xyz abracad", "abracadabra"]
+    kept = [(i, (t or "").encode().lower() + b"\xff") for i, t in enumerate(texts)]
     counts = collections.Counter()
-    for t in texts:
-        p = bytes(4) + t
-        counts.update((p[k - 4 : k], p[k]) for k in range(4, len(p)))
+    for i, t in kept:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            p = bytes(depth) + t
+            counts.update((p[k - depth : k], p[k]) for k in range(depth, len(p)))
+    assert {zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in kept} == {True, False}
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
+    @functools.cache
     def node(context, prefix, bits):
         z = [0, 0]
         for (ctx, x), n in counts.items():
@@ -252,41 +263,55 @@ def test_ctw_equals_plain_tree():
                 z[(x >> (7 - bits)) & 1] += n
         return z
 
+    def below(context, prefix, bits):
+        return sum(log_w(k, prefix, bits) for k in {ctx[-len(context) - 1 :] for ctx, _ in counts if ctx.endswith(context)})
+
+    @functools.cache
     def log_w(context, prefix, bits):
         own = kt(*node(context, prefix, bits))
-        if len(context) == 4:
+        if len(context) == depth:
             return own
-        kids = {ctx[-len(context) - 1 :] for ctx, _ in counts if ctx.endswith(context)}
-        below = sum(log_w(k, prefix, bits) for k in kids)
-        return math.log(0.5) + max(own, below) + math.log1p(math.exp(-abs(own - below)))
+        kids = below(context, prefix, bits)
+        return math.log(0.5) + max(own, kids) + math.log1p(math.exp(-abs(own - kids)))
 
     def one(context, ctx, prefix, bits):
         z = node(context, prefix, bits)
         p = (z[1] + 0.5) / (sum(z) + 1)
-        if len(context) == 4:
+        if len(context) == depth:
             return p
-        kids = {c[-len(context) - 1 :] for c, _ in counts if c.endswith(context)}
-        down = 1 / (1 + math.exp(kt(*z) - sum(log_w(k, prefix, bits) for k in kids)))
+        down = 1 / (1 + math.exp(kt(*z) - below(context, prefix, bits)))
         return (1 - down) * p + down * one(ctx[len(ctx) - len(context) - 1 :], ctx, prefix, bits)
 
-    b = ctw.Block(texts)
-    totals = b.grams * 0
+    got = table(ctw.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2), depth))
+    for i, t in kept:
+        p, want = bytes(depth) + t, 0.0
+        for k in range(depth, len(p)):
+            for bits in range(8):
+                q = one(b"", p[k - depth : k], p[k] >> (8 - bits), bits)
+                want += math.log10(q if (p[k] >> (7 - bits)) & 1 else 1 - q)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
+        assert got[i]["bits_per_byte"] == pytest.approx(-want * math.log2(10) / len(t), rel=1e-6)
+
+
+def test_ctw_pieces_and_packing():
     import numpy as np
 
-    totals = np.bincount(b.gram_at, minlength=len(b.grams))
-    assert {(int(g) >> 8, int(g) & 255): int(n) for g, n in zip(b.grams, totals, strict=True)} == {(int.from_bytes(k, "big"), x): n for (k, x), n in counts.items()}
-    four = ctw.leaves(b.grams, totals)
-    three = four.parent(3)
-    two = three.parent(2)
-    levels = [two.parent(1).parent(0), two.parent(1), two, three, four]
-    got = ctw.code(b.grams, levels)
-    for g, value in zip(b.grams.tolist(), got.tolist(), strict=True):
-        ctx, x = (g >> 8).to_bytes(4, "big"), g & 255
-        want = 0.0
-        for bits in range(8):
-            p = one(b"", ctx, x >> (8 - bits), bits)
-            want += math.log10(p if (x >> (7 - bits)) & 1 else 1 - p)
-        assert value == pytest.approx(want, rel=1e-9)
+    texts = [b"one two", b"", b"a" * 50 + b" b " + b"c" * 9, b" \n"]
+    for size in (3, 7, 1000):
+        old, ctw.PIECE_BYTES = ctw.PIECE_BYTES, size
+        try:
+            words_ = collections.Counter((int(k), int(d)) for keys, docs in ctw.word_pieces(texts) for k, d in zip(keys, docs, strict=True))
+            grams = collections.Counter((int(k), int(d)) for keys, docs in ctw.gram_pieces(texts, 5) for k, d in zip(keys, docs, strict=True))
+        finally:
+            ctw.PIECE_BYTES = old
+        assert sorted(collections.Counter(d for _, d in words_.elements()).items()) == [(0, 2), (2, 3)]
+        want = collections.Counter()
+        for i, t in enumerate(texts):
+            p = bytes(5) + t + ctw.END
+            want.update((int.from_bytes(p[k - 5 : k][::-1] + p[k : k + 1], "big"), i) for k in range(5, len(p)))
+        assert grams == want
+    keys = np.array([0, 3, 3 << 40, (1 << 63) + 5], np.uint64)
+    assert ctw.unpack_keys(ctw.pack_keys(keys)).tolist() == keys.tolist() and ctw.unpack(ctw.pack(keys[:0]), np.uint64).tolist() == []
 
 
 def test_ctw_prefers_text_like_its_training(spark):
@@ -294,7 +319,7 @@ def test_ctw_prefers_text_like_its_training(spark):
     good = [(i, prose(150, f"g{i}"), "en", "a", 0) for i in range(40)]
     junk = [(i, "".join(r.choice("qzxjkvw?# ") for _ in range(900)), "en", "a", 0) for i in range(40, 44)]
     got = table(ctw.score(spark.createDataFrame(good + junk, DOCS)))
-    bits = {i: -v["score"] / max(1, v["n_bytes"]) * math.log2(10) for i, v in got.items()}
+    bits = {i: v["bits_per_byte"] for i, v in got.items()}
     held = [bits[i] for i in range(40) if got[i]["held_out"]]
     assert held and max(held) < min(bits[i] for i in range(40, 44)) and max(held) < 3.5
 
