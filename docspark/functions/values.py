@@ -2,11 +2,16 @@
 
 A Binding resolves paths. For typed frames SQL NULL is a missing value and types are
 settled while binding; for document frames the body is VARIANT and every test carries its
-type check. Every condition is two-valued: leaves never give NULL.
+type check.
+
+Conditions are two-valued. Leaves are bare predicates, whose NULL means false, so that
+sources can take them as filters; NOT turns the NULL of what it negates into false first,
+as do uses of a condition outside of filters.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +32,7 @@ class Value:
 
     col: Column
     kind: T.DataType | None
+    whole: Column | None = None  # the integer column behind an id that reads as text
 
     @property
     def variant(self) -> bool:
@@ -68,7 +74,8 @@ class Binding:
         if not keys:
             raise QueryError("bare_source_reference", "a path needs a field")
         if keys == ["id"]:
-            return Value(F.col(f"`{self.id_col}`").cast("string"), T.StringType())
+            c = F.col(f"`{self.id_col}`")
+            return Value(c.cast("string"), T.StringType(), c if isinstance(self.schema[self.id_col].dataType, WHOLE) else None)
         if self.body is not None:
             return descend(Value(F.col(f"`{self.body}`"), T.VariantType()), list(keys))
         if keys[0] not in self.schema.names:
@@ -107,6 +114,26 @@ def exists(v: Value) -> Column:
     return F.lit(False) if v.kind is None else v.col.isNotNull()
 
 
+def fitting(v: Value, x: object) -> Column | None:
+    """The literal as the typed value's kind compares with it, None where the two are never equal."""
+    if v.kind is None or x is None:
+        return None
+    if isinstance(x, bool):
+        return F.lit(x) if isinstance(v.kind, T.BooleanType) else None
+    if isinstance(x, int):
+        return F.lit(x) if isinstance(v.kind, WHOLE) else None
+    if isinstance(x, float):
+        return F.lit(x) if isinstance(v.kind, FRACTION) else None
+    if isinstance(v.kind, TIMES):
+        return F.lit(x).try_cast(v.kind)
+    return F.lit(x) if isinstance(v.kind, T.StringType) else None
+
+
+def _whole_id(x: object) -> int | None:
+    """The integer that a text names, if it is the one an id of that value reads as."""
+    return int(x) if isinstance(x, str) and re.fullmatch(r"0|-?[1-9][0-9]{0,17}", x) else None
+
+
 def scalar_equal(v: Value, x: object) -> Column:
     """Strict equality: no coercion between integers, fractions, strings and booleans."""
     if v.kind is None:
@@ -114,33 +141,37 @@ def scalar_equal(v: Value, x: object) -> Column:
     if v.variant:
         kind = kind_of(v)
         if x is None:
-            return _true(F.is_variant_null(v.col))
+            return F.is_variant_null(v.col)
         if isinstance(x, bool):
-            return _true((kind == "BOOLEAN") & (_get(v, "boolean") == x))
+            return (kind == "BOOLEAN") & (_get(v, "boolean") == x)
         if isinstance(x, int):
-            return _true((kind == "BIGINT") & (_get(v, "bigint") == x))
+            return (kind == "BIGINT") & (_get(v, "bigint") == x)
         if isinstance(x, float):
-            return _true(_is_fraction(kind) & (_get(v, "double") == x))
-        return _true((kind == "STRING") & (_get(v, "string") == x))
-    if x is None:
-        return F.lit(False)
-    if isinstance(x, bool):
-        return _true(v.col == x) if isinstance(v.kind, T.BooleanType) else F.lit(False)
-    if isinstance(x, int):
-        return _true(v.col == x) if isinstance(v.kind, WHOLE) else F.lit(False)
-    if isinstance(x, float):
-        return _true(v.col == x) if isinstance(v.kind, FRACTION) else F.lit(False)
-    if isinstance(v.kind, TIMES):
-        return _true(v.col == F.lit(x).try_cast(v.kind))
-    return _true(v.col == x) if isinstance(v.kind, T.StringType) else F.lit(False)
+            return _is_fraction(kind) & (_get(v, "double") == x)
+        return (kind == "STRING") & (_get(v, "string") == x)
+    if v.whole is not None and _whole_id(x) is not None:
+        return v.whole == _whole_id(x)
+    want = fitting(v, x)
+    return F.lit(False) if want is None else v.col == want
+
+
+def any_equal(v: Value, xs: list) -> Column:
+    """Whether the value equals one of the literals."""
+    if not v.variant and v.whole is None and len(xs) > 1 and not isinstance(v.kind, TIMES):
+        wanted = [w for w in (fitting(v, x) for x in xs) if w is not None]
+        return v.col.isin(*wanted) if wanted else F.lit(False)
+    out = F.lit(False)
+    for x in xs:
+        out = out | scalar_equal(v, x)
+    return out
 
 
 def has_element(v: Value, x: object) -> Column:
     """Whether the value is a list holding x."""
     if v.variant:
-        return _true(F.exists(_get(v, "array<variant>"), lambda e: scalar_equal(Value(e, v.kind), x)))
+        return F.exists(_get(v, "array<variant>"), lambda e: _true(scalar_equal(Value(e, v.kind), x)))
     if isinstance(v.kind, T.ArrayType):
-        return _true(F.exists(v.col, lambda e: scalar_equal(Value(e, v.kind.elementType), x)))
+        return F.exists(v.col, lambda e: _true(scalar_equal(Value(e, v.kind.elementType), x)))
     return F.lit(False)
 
 
@@ -149,7 +180,10 @@ def compare(v: Value, op: str, x: object) -> Column:
     if op == "==":
         return scalar_equal(v, x)
     if op == "=/=":
-        return exists(v) & ~scalar_equal(v, x)
+        if v.variant or v.whole is not None:
+            return exists(v) & ~_true(scalar_equal(v, x))
+        want = fitting(v, x)
+        return exists(v) if want is None else v.col != want if not isinstance(v.kind, TIMES) else exists(v) & ~_true(v.col == want)
     if v.kind is None or x is None or isinstance(x, bool):
         return F.lit(False)
     number = not isinstance(x, str)
@@ -161,12 +195,12 @@ def compare(v: Value, op: str, x: object) -> Column:
                 c = _get(v, "decimal(38,0)")
         else:
             fits, c = kind == "STRING", _get(v, "string")
-        return _true(fits & _ordered(c, op, F.lit(x)))
+        return fits & _ordered(c, op, F.lit(x))
     if number:
-        return _true(_ordered(v.col, op, F.lit(x))) if isinstance(v.kind, (*WHOLE, *FRACTION)) else F.lit(False)
+        return _ordered(v.col, op, F.lit(x)) if isinstance(v.kind, (*WHOLE, *FRACTION)) else F.lit(False)
     if isinstance(v.kind, TIMES):
-        return _true(_ordered(v.col, op, F.lit(x).try_cast(v.kind)))
-    return _true(_ordered(v.col, op, F.lit(x))) if isinstance(v.kind, T.StringType) else F.lit(False)
+        return _ordered(v.col, op, F.lit(x).try_cast(v.kind))
+    return _ordered(v.col, op, F.lit(x)) if isinstance(v.kind, T.StringType) else F.lit(False)
 
 
 def _ordered(a: Column, op: str, b: Column) -> Column:
@@ -211,8 +245,17 @@ def compare_values(a: Value, op: str, b: Value) -> Column:
     return _true(_ordered(a.col, op, b.col)) if alike and not isinstance(a.kind, T.BooleanType) else F.lit(False)
 
 
+def _plain(c: tuple, binding) -> Value | None:
+    """The value a leaf tests, where it is a typed scalar and the leaf is NULL only if the value is."""
+    if c[0] not in ("path", "compare", "in", "prefix", "regex") or any(isinstance(x, Var) for x in c[2:]):
+        return None
+    v = binding.value(list(c[1]))
+    scalar = isinstance(v.kind, (*WHOLE, *FRACTION, T.StringType, T.BooleanType))
+    return v if scalar and not (c[0] == "compare" and c[2] == "=/=") else None
+
+
 def condition(c: tuple, binding, variables: dict[str, list] | None = None, strict_lists: bool = False) -> Column:
-    """A checked condition as a never-NULL boolean Column."""
+    """A checked condition as a boolean Column, whose NULL means false."""
     kind = c[0]
     if kind in ("and", "or"):
         out = F.lit(kind == "and")
@@ -221,7 +264,10 @@ def condition(c: tuple, binding, variables: dict[str, list] | None = None, stric
             out = out & one if kind == "and" else out | one
         return out
     if kind == "not":
-        return ~condition(c[1], binding, variables, strict_lists)
+        inner = condition(c[1], binding, variables, strict_lists)
+        if (v := _plain(c[1], binding)) is not None:
+            return (v.col if v.whole is None else v.whole).isNull() | ~inner
+        return ~_true(inner)
     v = binding.value(list(c[1]))
     if kind == "path":
         if isinstance(c[2], Var):
@@ -235,10 +281,7 @@ def condition(c: tuple, binding, variables: dict[str, list] | None = None, stric
             return compare_values(v, c[2], binding.value(variables[c[3].name]))
         return compare(v, c[2], c[3])
     if kind == "in":
-        out = F.lit(False)
-        for x in c[2]:
-            out = out | scalar_equal(v, x)
-        return out
+        return any_equal(v, c[2])
     if kind == "contains":
         return has_element(v, c[2])
     if kind == "exists":
@@ -248,10 +291,11 @@ def condition(c: tuple, binding, variables: dict[str, list] | None = None, stric
     text = text_of(v)
     if text is None:
         return F.lit(False)
-    return _true(text.rlike(c[2]) if kind == "regex" else text.startswith(c[2]))
+    return text.rlike(c[2]) if kind == "regex" else text.startswith(c[2])
 
 
 def all_of(cs: list[tuple], binding, variables: dict[str, list] | None = None, strict_lists: bool = False) -> Column:
+    """All conditions, for a filter."""
     return condition(("and", cs), binding, variables, strict_lists)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.functions.values import Binding, ElementBinding, Value, all_of, condition, sort_key
+from docspark.functions.values import Binding, ElementBinding, Value, all_of, condition, scalar_equal, sort_key
 from docspark.plans import conditions
 from docspark.plans.compiler import Plan, compile_query, mixed_condition, strategy
 from docspark.plans.errors import QueryError
@@ -55,10 +55,10 @@ class Collection:
         """Rows that are neither tombstones nor expired."""
         df = self.df
         if self.body is not None and "deleted" in df.columns:
-            df = df.where(~F.coalesce("deleted", F.lit(False)))
+            df = df.where(F.col("deleted").isNull() | ~F.col("deleted"))
         if self.body is not None and "expires_at" in df.columns:
             now = self.now_ms if self.now_ms is not None else int(time.time() * 1000)
-            df = df.where(F.coalesce((F.col("expires_at") <= 0) | (F.col("expires_at") > now), F.lit(True)))
+            df = df.where(F.col("expires_at").isNull() | (F.col("expires_at") <= 0) | (F.col("expires_at") > now))
         return df
 
     def binding(self) -> Binding:
@@ -102,6 +102,9 @@ class Collection:
             df = df.where(key.startswith(plan.id_prefix))
         if plan.id_range is not None:
             low, high = plan.id_range
+            if low is not None and high == f"{low}\0":
+                df = df.where(scalar_equal(self.binding().value(["id"]), low))
+                low = high = None
             if low is not None:
                 df = df.where(key >= low)
             if high is not None:
@@ -234,7 +237,10 @@ class Collection:
         return df.select(*out)
 
     def matches(self, cs: list) -> Column:
-        """A spec's conditions as one Column over this collection's rows."""
+        """A spec's conditions as one never-NULL Column over this collection's rows."""
+        return F.coalesce(self._all(cs), F.lit(False))
+
+    def _all(self, cs: list) -> Column:
         checked = [conditions.normalize(c) for c in cs]
         return all_of(checked, self.binding(), conditions.bindings(checked))
 
@@ -242,7 +248,7 @@ class Collection:
         """A keyset page in id order, and a function giving the next token from the page's collected ids."""
         df, key = self.live(), F.col(f"`{self.id_col}`").cast("string")
         if spec.get("where"):
-            df = df.where(self.matches(spec["where"]))
+            df = df.where(self._all(spec["where"]))
         if continuation:
             df = df.where(key > json.loads(base64.urlsafe_b64decode(continuation))["after"])
         page = self._spec_rows(df.orderBy(key).limit(size), spec, conditions.bindings([conditions.normalize(c) for c in spec.get("where", [])]))

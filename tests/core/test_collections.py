@@ -132,11 +132,31 @@ def test_hidden_rows(spark):
     assert ids(c.query("SELECT * FROM d")) == ["a", "d"]
 
 
-def test_pushdown(spark, tmp_path):
-    spark.range(100).selectExpr("id AS k", "cast(id % 7 AS string) AS s", "cast(id AS double) AS x").write.parquet(str(tmp_path / "t"))
+def pushed(plan):
+    """Filters that reach the scan, without the null checks."""
+    found = re.search(r"PushedFilters: \[(.*)\], ReadSchema", plan)
+    return [f for f in re.split(r", (?=[A-Z])", found[1]) if not f.startswith("IsNotNull")]
+
+
+@pytest.mark.parametrize(
+    ("where", "filters"),
+    [
+        ("s = '3'", ["EqualTo(s,3)"]),
+        ("s = '3' AND x >= 2", ["EqualTo(s,3)", "GreaterThanOrEqual(x,2.0)"]),
+        ("n IN (1, 2)", ["In(n, [1,2])"]),
+        ("s LIKE 'ab%'", ["StringStartsWith(s,ab)"]),
+        ("s = '3' OR n < 5", ["Or(EqualTo(s,3),LessThan(n,5))"]),
+        ("NOT s = '3'", ["Not(EqualTo(s,3))"]),
+        ("n NOT IN (1, 2)", ["Or(IsNull(n),Not(In(n, [1,2])))"]),
+        ("id = '17'", ["EqualTo(k,17)"]),
+    ],
+)
+def test_pushdown(spark, tmp_path, where, filters):
+    spark.range(100).selectExpr("id AS k", "cast(id % 7 AS string) AS s", "cast(id AS double) AS x", "id % 5 AS n", "id AS other").write.parquet(str(tmp_path / "t"))
     c = Collection.typed(spark.read.parquet(str(tmp_path / "t")), "k")
-    plan = c.explain("SELECT x FROM t WHERE s = '3'")["plan"]
-    assert "ReadSchema: struct<k:bigint,s:string,x:double>" in plan
+    plan = c.explain(f"SELECT x FROM t WHERE {where}")["plan"]
+    assert pushed(plan.split("Physical Plan")[1]) == filters
+    assert "other" not in plan.split("ReadSchema")[1]
 
 
 # a plain evaluator of the value rules, held against the Columns on random documents
@@ -211,3 +231,29 @@ def test_fuzz_against_plain_evaluator(spark):
         for d in docs:
             for i, t in enumerate(some):
                 assert by_id[d["id"]][f"c{i}"] == ev(t, {k: v for k, v in d.items() if k != "id"}), (t, d)
+
+
+def test_typed_fuzz_against_plain_evaluator(spark):
+    r = random.Random(9)
+    kinds = {"s": ["a", "ab", "b", ""], "n": [0, 1, 2, -3], "x": [0.0, 1.5, 2.5], "b": [True, False]}
+    lists = {"ls": "s", "ln": "n"}
+    docs = [{"id": i, **{f: r.choice(v) for f, v in kinds.items() if r.random() < 0.7}, **{f: [r.choice(kinds[g]) for _ in range(r.randrange(3))] for f, g in lists.items() if r.random() < 0.7}} for i in range(50)]
+    df = spark.createDataFrame([tuple(d.get(c) for c in ("id", *kinds, *lists)) for d in docs], "id long, s string, n long, x double, b boolean, ls array<string>, ln array<long>").cache()
+    c = Collection.typed(df, "id")
+    literals = [x for v in kinds.values() for x in v]
+
+    def leaf():
+        p = [r.choice([*kinds, *lists, "gone"])]
+        if p[0] in lists and r.random() < 0.3:
+            p.append(0)
+        one = lambda: r.choice(literals)
+        return r.choice([("path", p, one()), ("compare", p, r.choice([">", "<", ">=", "=<", "==", "=/="]), one()), ("in", p, [one(), one()]), ("contains", p, one()), ("exists", p), ("missing", p), ("prefix", p, "a"), ("regex", p, "^a.$")])
+
+    def tree(n):
+        if n == 0 or r.random() < 0.3:
+            return leaf()
+        return r.choice([("and", [tree(n - 1), tree(n - 1)]), ("or", [tree(n - 1), tree(n - 1)]), ("not", tree(n - 1))])
+
+    for t in [tree(2) for _ in range(40)]:
+        want = sorted(d["id"] for d in docs if ev(t, {k: v for k, v in d.items() if k != "id"}))
+        assert sorted(x["id"] for x in c.find({"where": [t]}).collect()) == want, t
