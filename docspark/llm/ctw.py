@@ -44,7 +44,7 @@ from docspark.llm.common import Scratch, bounded_batches, input_parts
 from docspark.llm.textnum import ASCII_SPACE, mix, space_cut, word_hashes
 
 DEPTH = 5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 SALT_BLOCKS = 4096
 SUBTREE_KEYS = 1 << 15
@@ -151,21 +151,44 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[starts], np.add.reduceat(c, starts) if len(k) else c
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
 def counted(pieces: Iterable[tuple[np.ndarray, np.ndarray]], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of all documents, with their counts in training documents."""
     keys, counts = [], []
     for k, doc in pieces:
         t = train[doc]
         for part, times in ((k[t], 1), (k[~t], 0)):
-            one, n = np.unique(part, return_counts=True)
+            one, n = _runs(part)
             keys.append(one)
-            counts.append(n.astype(np.int64) * times)
-        if len(keys) >= 8:
-            k, c = summed(keys, counts)
-            keys, counts = [k], [c]
+            counts.append(n * times)
     return summed(keys, counts)
 
 
+class Lookup:
+    """Where keys stand among sorted distinct ones: by a hash table, and by bisection where two share a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - min(24, len(keys).bit_length() + 3))
+        self.table = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(keys)]
+        miss = np.flatnonzero(self.keys[at] != keys) if len(keys) else at
+        at[miss] = np.searchsorted(self.keys, keys[miss])
+        return at
+
+
 def parts_of(kind: int, keys: np.ndarray, n: int, depth: int) -> np.ndarray:
     """A key's part; strings with the same three last bytes of context share one."""
     return (mix(keys >> np.uint64(8 * (depth - 2))) if kind == GRAMS else keys) % np.uint64(n)
@@ -183,36 +206,36 @@ def _lower(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode().lower() for t in texts]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in blocks of about BLOCK_BYTES; a longer text stands alone."""
-    first, size = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
-        if size and size + (n or 0) > BLOCK_BYTES:
-            yield batch.slice(first, i - first)
-            first, size = i, 0
-        size += n or 0
-    if first < batch.num_rows:
-        yield batch.slice(first)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in blocks of about BLOCK_BYTES; a longer text stands alone."""
+    rows, size = [], 0
+    for batch in batches:
+        first = 0
+        for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            if size and size + (n or 0) > BLOCK_BYTES:
+                yield pa.Table.from_batches([*rows, batch.slice(first, i - first)])
+                rows, size, first = [], 0, i
+            size += n or 0
+        rows.append(batch.slice(first))
+    if sum(r.num_rows for r in rows):
+        yield pa.Table.from_batches(rows)
 
 
 def _block_batches(n_parts: int, depth: int):
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = _lower(batch.column(1).to_pylist())
-                train = np.array([not held_out(i) for i in batch.column(0).to_pylist()])
-                out = []
-                for k, pieces in ((WORDS, word_pieces(texts)), (GRAMS, gram_pieces(texts, depth))):
-                    keys, counts = counted(pieces, train)
-                    out += [{"kind": k, "part": p, "keys": pack_keys(keys[at]), "counts": pack(counts[at])} for p, at in cells(k, keys, n_parts, depth)]
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(batch)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([out], kind), pa.array([int(train.sum())], pa.int64())], ["block", "docs", "cells", "train_docs"])
-                block += 1
+        for block, docs in enumerate(_slices(batches), TaskContext.get().partitionId() << 32):
+            texts = _lower(docs.column(1).to_pylist())
+            train = np.array([not held_out(i) for i in docs.column(0).to_pylist()])
+            out = []
+            for k, pieces in ((WORDS, word_pieces(texts)), (GRAMS, gram_pieces(texts, depth))):
+                keys, counts = counted(pieces, train)
+                out += [{"kind": k, "part": p, "keys": pack_keys(keys[at]), "counts": pack(counts[at])} for p, at in cells(k, keys, n_parts, depth)]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(docs)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([out], kind), pa.array([int(train.sum())], pa.int64())], ["block", "docs", "cells", "train_docs"])
 
     return run
 
@@ -458,16 +481,18 @@ def _score_batches(n_parts: int, depth: int, tokens: int, types: int, train_docs
 
     def block(ids: list, texts: list[bytes], replies: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
         n, sums = len(ids), {}
-        everything = np.ones(n, bool)
-        for kind, pieces in ((WORDS, word_pieces), (GRAMS, lambda t: gram_pieces(t, depth))):
-            keys, _ = counted(pieces(texts), everything)
+        for kind, found in ((WORDS, word_pieces(texts)), (GRAMS, gram_pieces(texts, depth))):
+            pieces = [(k, doc.astype(np.int32)) for k, doc in found]
+            one = [_runs(k) for k, _ in pieces]
+            keys, _ = summed([k for k, _ in one], [c for _, c in one])
             values = np.zeros(len(keys))
             for p, at in cells(kind, keys, n_parts, depth):
                 values[at] = unpack(replies[kind, p], np.int64 if kind == WORDS else np.float32)
             columns = [values] if kind == GRAMS else [np.ones(len(keys)), (values > 0).astype(float), np.log10((values + 0.5) / floor)]
             out = [np.zeros(n) for _ in columns]
-            for k, doc in pieces(texts):
-                at = np.searchsorted(keys, k)
+            find = Lookup(keys) if len(keys) else None
+            for k, doc in pieces:
+                at = find(k)
                 for o, c in zip(out, columns, strict=True):
                     o += np.bincount(doc, c[at], n)
             sums[kind] = out
@@ -507,7 +532,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     asked = blocks.select("block", F.inline("cells")).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
 
     sums = asked.select("kind", "part", "salt", "keys", "counts").repartition(n_parts, "kind", "part", "salt").sortWithinPartitions("kind", "part", "salt").mapInArrow(_sum_batches, CELL)
-    model = sums.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_model_batches(depth), MODEL_SCHEMA)
+    model = sums.repartitionById(n_parts, "part").sortWithinPartitions("kind", "part").mapInArrow(_model_batches(depth), MODEL_SCHEMA)
     model = scratch.save(model, "model")
     tokens, types = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
@@ -519,7 +544,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
     two = pairs.select(F.lit(GRAMS).alias("kind"), F.explode("parts").alias("part"), F.lit(False).alias("is_model"), F.col("mixture").alias("keys"), F.lit(None).cast("binary").alias("counts"))
     whole = model.select("kind", "part", F.lit(True).alias("is_model"), "keys", "counts").unionByName(two)
-    valued = whole.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part", "is_model").mapInArrow(_code_batches(depth, above), "kind int, part int, keys binary, values binary")
+    valued = whole.repartitionById(n_parts, "part").sortWithinPartitions("kind", "part", "is_model").mapInArrow(_code_batches(depth, above), "kind int, part int, keys binary, values binary")
     valued = scratch.save(valued, "values").select("kind", "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("payload"))
     both = asked.select("kind", "part", "salt", "block", "keys", F.lit(None).cast("binary").alias("payload")).unionByName(valued)
     both = both.repartition(n_parts, "kind", "part", "salt").sortWithinPartitions("kind", "part", "salt", F.asc_nulls_first("block"))
