@@ -481,9 +481,8 @@ def _score_batches(n_parts: int, depth: int, tokens: int, types: int, train_docs
 
     def block(ids: list, texts: list[bytes], replies: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
         n, sums = len(ids), {}
-        for kind, found in ((WORDS, word_pieces(texts)), (GRAMS, gram_pieces(texts, depth))):
-            pieces = [(k, doc.astype(np.int32)) for k, doc in found]
-            one = [_runs(k) for k, _ in pieces]
+        for kind, pieces in ((WORDS, word_pieces), (GRAMS, lambda t: gram_pieces(t, depth))):
+            one = [_runs(k) for k, _ in pieces(texts)]
             keys, _ = summed([k for k, _ in one], [c for _, c in one])
             values = np.zeros(len(keys))
             for p, at in cells(kind, keys, n_parts, depth):
@@ -491,7 +490,7 @@ def _score_batches(n_parts: int, depth: int, tokens: int, types: int, train_docs
             columns = [values] if kind == GRAMS else [np.ones(len(keys)), (values > 0).astype(float), np.log10((values + 0.5) / floor)]
             out = [np.zeros(n) for _ in columns]
             find = Lookup(keys) if len(keys) else None
-            for k, doc in pieces:
+            for k, doc in pieces(texts):  # cut again rather than kept
                 at = find(k)
                 for o, c in zip(out, columns, strict=True):
                     o += np.bincount(doc, c[at], n)
