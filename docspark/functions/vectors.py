@@ -42,8 +42,12 @@ def quantize_int8(v: Column) -> Column:
     """Struct of scale and bytes in -127..127: x / scale * 127 rounded, scale the largest magnitude."""
     doubles = as_doubles(v)
     scale = F.coalesce(F.array_max(F.transform(doubles, F.abs)), F.lit(0.0))
-    codes = F.transform(doubles, lambda x: F.when(scale == 0, F.lit(0)).otherwise(F.round(x / scale * 127)).cast("tinyint"))
-    return F.struct(scale.alias("scale"), codes.alias("codes"))
+
+    def struct(k: Column) -> Column:
+        codes = F.transform(doubles, lambda x: F.when(k == 0, F.lit(0)).otherwise(F.round(x / k * 127)).cast("tinyint"))
+        return F.struct(k.alias("scale"), codes.alias("codes"))
+
+    return F.get(F.transform(F.array(scale), struct), 0)  # the scale is computed once, not for every element
 
 
 def dequantize_int8(q: Column) -> Column:

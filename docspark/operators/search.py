@@ -1,17 +1,18 @@
-"""Exact vector, BM25 and hybrid search as DataFrame plans.
+"""Vector, BM25 and hybrid search as DataFrame plans.
 
-Results are bounded by k, so hits are small whatever the corpus; statistics and scores
-are aggregates over the rows that hold a query term, not over a postings index of all.
+Results are bounded by k, so hits are small whatever the corpus. BM25 scores a corpus by
+scanning its texts; TermIndex keeps postings, so that a query reads its own terms only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import vectors
@@ -39,8 +40,14 @@ def hash_embed(text: str, dimensions: int = 64) -> list[float]:
     return [x / size for x in out] if size else out
 
 
+def _score(tf: Column, length: Column, n: Column, df: Column, avg: Column, k1: float, b: float) -> Column:
+    """A term's part in a document's score."""
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
+
+
 class BM25:
-    """docs: any frame with an id and a text column."""
+    """Scores by a scan of the texts. docs: any frame with an id and a text column."""
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B, min_length: int = 1):
         self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -49,33 +56,39 @@ class BM25:
     def _terms(self) -> DataFrame:
         return self.docs.select("id", tokens(F.col("text"), self.min_length).alias("terms"))
 
+    def _length(self, lower: Column) -> Column:
+        return F.regexp_count(lower, F.lit(f"[a-z0-9]{{{max(1, self.min_length)},}}+"))
+
     def stats(self) -> DataFrame:
         """n_docs, n_tokens, avg_len."""
-        return self._terms().agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n_tokens"), F.avg(F.size("terms")).alias("avg_len"))
+        lengths = self.docs.select(self._length(F.lower("text")).alias("len"))
+        return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("n_tokens"), F.avg("len").alias("avg_len"))
 
     def document_frequency(self) -> DataFrame:
         """term, df over the whole corpus; counts are combined before the shuffle."""
         return self._terms().select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
-    def scores(self, query: str) -> DataFrame:
-        """id, score of every document with a positive score.
+    def counts(self, asked: list[str]) -> DataFrame:
+        """id, len and tf0, tf1, .. of the asked terms in every document, each text read once; a term is looked for only where it occurs as text."""
+        bound = lambda t: f"(?<![a-z0-9]){t}(?![a-z0-9])"
+        low = F.col("low")
+        tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(bound(t)))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(asked)]
+        lowered = self.docs.select("id", F.explode(F.array(F.lower("text"))).alias("low"))  # generators: what follows is computed once for all its uses
+        figures = F.struct(self._length(low).alias("len"), *tf)
+        return lowered.select("id", F.explode(F.array(figures)).alias("f")).select("id", "f.*")
 
-        One pass counts each distinct query term in each document with array functions; one row of
-        statistics comes from the same counts. Nothing is exploded and nothing but that row moves.
-        """
+    def scores(self, query: str) -> DataFrame:
+        """id, score of every document with a positive score. One row of statistics comes from the same counts; nothing but that row moves."""
         asked = sorted(set(tokenize(query, self.min_length)))
         if not asked:
             return self.docs.select("id", F.lit(0.0).alias("score")).limit(0)
-        words = F.col("terms")
-        tf = [F.size(F.filter(words, _equals(t))).alias(f"tf{i}") for i, t in enumerate(asked)]
-        counted = self._terms().select("id", F.size(words).alias("len"), *tf)
+        counted = self.counts(asked)
         n = F.count(F.lit(1))
         stats = counted.agg(n.alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(asked))])
         score = F.lit(0.0)
         for i in range(len(asked)):
-            x, df = F.col(f"tf{i}"), F.col(f"df{i}")
-            idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-            score = score + F.when(x > 0, idf * x * (self.k1 + 1) / (x + self.k1 * (1 - self.b + self.b * F.col("len") / F.col("avg")))).otherwise(0.0)
+            x = F.col(f"tf{i}")
+            score = score + F.when(x > 0, _score(x, F.col("len"), F.col("n"), F.col(f"df{i}"), F.col("avg"), self.k1, self.b)).otherwise(0.0)
         hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(asked))], F.lit(0)) > 0
         return counted.where(hit).crossJoin(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")  # stats is one row
 
@@ -83,12 +96,17 @@ class BM25:
         return self.scores(query).orderBy(F.desc("score"), "id").limit(k)
 
     def weights(self) -> DataFrame:
-        """Sparse vectors: id, vector MAP<term, weight> of every document."""
+        """id, term, weight: the sparse vectors of all documents."""
         flat = self._terms().select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
         joined = flat.join(self.document_frequency(), "term").crossJoin(F.broadcast(self.stats()))
-        idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        w = idf * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("len") / F.col("avg_len")))
-        return joined.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", w.alias("w")))).alias("vector"))
+        return joined.select("id", "term", _score(F.col("tf"), F.col("len"), F.col("n_docs"), F.col("df"), F.col("avg_len"), self.k1, self.b).alias("weight"))
+
+    def get_vector(self, id_: object) -> DataFrame:
+        """term, weight of one document; the statistics are those of the corpus."""
+        own = BM25(self.docs.where(F.col("id") == id_), "id", "text", self.k1, self.b, self.min_length)._terms()
+        own = own.select(F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        joined = own.join(self.document_frequency(), "term").crossJoin(F.broadcast(self.stats()))
+        return joined.select("term", _score(F.col("tf"), F.col("len"), F.col("n_docs"), F.col("df"), F.col("avg_len"), self.k1, self.b).alias("weight"))
 
     def encode(self, text: str) -> DataFrame:
         """term, weight of a text that is not in the corpus; unknown terms count as held by one document."""
@@ -104,8 +122,96 @@ class BM25:
         return joined.select("term", (idf * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.lit(n) / F.col("avg_len")))).alias("weight"))
 
 
-def _equals(term: str):
-    return lambda t: t == term
+class TermIndex:
+    """Postings (term, id, tf, len) in a folder, in segments, dealt by a hash of the term and sorted by it.
+
+    A query reads the folders its terms fall in, and in their files the row groups that may hold
+    them. add makes a segment; an id that is added again or removed is dead in older segments.
+    merge rewrites the live postings as one segment. A common term's postings are dealt to
+    several files by their ids, so no task writes or reads them alone.
+    """
+
+    FOLDERS, SPLITS = 64, 8
+
+    def __init__(self, spark: SparkSession, path: str, k1: float = K1, b: float = B, min_length: int = 1):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.k1, self.b, self.min_length = k1, b, min_length
+
+    def _segments(self) -> list[int]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        return sorted(int(f.getPath().getName()[2:]) for f in fs.listStatus(root) if f.getPath().getName().startswith("s="))
+
+    @staticmethod
+    def folder(term: str | Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(term) if isinstance(term, str) else term), F.lit(TermIndex.FOLDERS)).cast("int")
+
+    def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> None:
+        terms = docs.select(F.col(id_col).cast("string").alias("id"), tokens(F.coalesce(F.col(text_col), F.lit("")), self.min_length).alias("terms"))
+        self._write(terms.select("id", F.size("terms").alias("len")), terms.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+    def remove(self, ids: list) -> None:
+        gone = self.spark.createDataFrame([(str(i), None) for i in ids], "id string, len int")
+        self._write(gone, None)
+
+    def _write(self, lengths: DataFrame, postings: DataFrame | None) -> None:
+        n = max(self._segments(), default=-1) + 1
+        if postings is not None:
+            p = postings.withColumn("f", self.folder(F.col("term"))).withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(self.SPLITS)))
+            p.repartition("f", "__part").sortWithinPartitions("f", "term", "id").drop("__part").write.partitionBy("f").parquet(f"{self.path}/s={n}/postings")
+        lengths.write.parquet(f"{self.path}/s={n}/lengths")
+
+    def _lengths(self) -> DataFrame:
+        """id, len (null: removed) and the segment of every id's last word."""
+        each = [self.spark.read.schema("id string, len int").parquet(f"{self.path}/s={n}/lengths").withColumn("s", F.lit(n)) for n in self._segments()]
+        rows = functools.reduce(DataFrame.unionByName, each)
+        return rows.groupBy("id").agg(F.max("s").alias("s"), F.max_by("len", "s").alias("len"))
+
+    def _postings(self, terms: list[str] | None = None) -> DataFrame:
+        """term, id, tf, len of live postings, of some terms or of all."""
+        jvm, out = self.spark._jvm, []
+        segments = self._segments()
+        for n in segments:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/s={n}/postings")
+            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+                rows = self.spark.read.schema("id string, len int, term string, tf long, f int").parquet(str(path))
+                if terms is not None:
+                    rows = rows.where(F.col("f").isin(*[int(r[0]) for r in self.spark.range(1).select(F.explode(F.array(*[self.folder(t) for t in terms]))).distinct().collect()]) & F.col("term").isin(*terms))
+                out.append(rows.drop("f").withColumn("s", F.lit(n)))
+        if not out:
+            return self.spark.createDataFrame([], "id string, len int, term string, tf long")
+        rows = functools.reduce(DataFrame.unionByName, out)
+        if len(segments) > 1:
+            later = self._lengths().select("id", F.col("s").alias("__last"))
+            rows = rows.join(later, "id").where("s = __last").drop("__last")
+        return rows.drop("s")
+
+    def stats(self) -> DataFrame:
+        live = self._lengths().where("len IS NOT NULL")
+        return live.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("n_tokens"), F.avg("len").alias("avg_len"))
+
+    def scores(self, query: str) -> DataFrame:
+        """id, score of every document with a positive score: postings of the asked terms, summed by id."""
+        asked = sorted(set(tokenize(query, self.min_length)))
+        if not asked:
+            return self.spark.createDataFrame([], "id string, score double")
+        rows = self._postings(asked)
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        joined = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.stats()))  # as many rows as the query has terms, and one
+        part = _score(F.col("tf"), F.col("len"), F.col("n_docs"), F.col("df"), F.col("avg_len"), self.k1, self.b)
+        return joined.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
+
+    def search(self, query: str, k: int = 10) -> DataFrame:
+        return self.scores(query).orderBy(F.desc("score"), "id").limit(k)
+
+    def merge(self, path: str) -> TermIndex:
+        """The live postings as an index of one segment in another folder."""
+        out = TermIndex(self.spark, path, self.k1, self.b, self.min_length)
+        out._write(self._lengths().where("len IS NOT NULL").select("id", "len"), self._postings())
+        return out
 
 
 def vector_scores(store: DataFrame, vector: list[float], id_col: str, vector_col: str, metric: str = "cosine") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import clocks, documents, topics, vectors
 from docspark.operators import changes, replication, search, sessions
+from docspark.sources import scratch
 from docspark.sources.collection import Collection
 from docspark.streaming import live
 
@@ -188,10 +189,11 @@ def vector_euclidean(spark, sf_dir):
     return _rounded(index.search(query_vector(spark, sf_dir), 10).select("id", "score"))
 
 
-@register("int8_quantize", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS a FROM embeddings) SELECT vec_id AS id, round(list_max(a), 6) AS scale, len(a) AS dimensions FROM v")
+@register("int8_quantize", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings)
+SELECT vec_id AS id, round(m, 6) AS scale, array_to_string(list_transform(e, lambda x: round(x / m * 127)::BIGINT), ',') AS codes FROM v""")
 def int8_quantize(spark, sf_dir):
     q = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.quantize_int8(F.col("embedding")).alias("q"))
-    return q.select("id", F.round("q.scale", 6).alias("scale"), F.size("q.codes").cast("long").alias("dimensions"))
+    return q.select("id", F.round("q.scale", 6).alias("scale"), F.array_join(F.transform("q.codes", lambda c: c.cast("string")), ",").alias("codes"))
 
 
 def _bm25_sql(terms: tuple[str, ...]) -> str:
@@ -218,6 +220,32 @@ def bm25_frequency(spark, sf_dir):
     return text_index(spark, sf_dir).document_frequency()
 
 
+_WEIGHTS_SQL = """t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+n AS (SELECT count(*) AS n, avg(len(ws)) AS al FROM t), f AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM t),
+g AS (SELECT doc_id, dl, term, count(*) AS tf FROM f GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM g GROUP BY term),
+w AS (SELECT doc_id AS id, term, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) AS weight FROM g JOIN d USING (term), n)"""
+
+
+@register("bm25_weights", f"WITH {_WEIGHTS_SQL} SELECT id, term, round(weight, 6) AS weight FROM w")
+def bm25_weights(spark, sf_dir):
+    return text_index(spark, sf_dir).weights().withColumn("weight", F.round("weight", 6))
+
+
+@register("bm25_get_vector", f"WITH {_WEIGHTS_SQL} SELECT term, round(weight, 6) AS weight FROM w WHERE id = 7")
+def bm25_get_vector(spark, sf_dir):
+    return text_index(spark, sf_dir).get_vector(7).withColumn("weight", F.round("weight", 6))
+
+
+@register("bm25_indexed", f"WITH {_bm25_sql(TERMS)} SELECT CAST(id AS VARCHAR) AS id, round(score, 6) AS score FROM b ORDER BY b.score DESC, CAST(id AS VARCHAR) LIMIT 10")
+def bm25_indexed(spark, sf_dir):
+    """The same search over stored postings, after an update of some documents and a merge of the segments."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    index = search.TermIndex(spark, scratch.folder(spark, "terms"))
+    index.add(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("an older text of the document")).otherwise(F.col("text"))), "doc_id")
+    index.add(docs.where("doc_id % 3 = 0"), "doc_id")
+    return _rounded(index.merge(scratch.folder(spark, "terms")).search(" ".join(TERMS), 10))
+
+
 def searchable(spark, sf_dir) -> Collection:
     """Documents with text search and the stored vectors under the same ids; the query text maps to vector 0."""
     vector = query_vector(spark, sf_dir)
@@ -297,6 +325,36 @@ def changes_query(spark, sf_dir):
     return changes.changes(h, matching=hit).select(*_SHOW)
 
 
+def shared_clocks(spark, sf_dir) -> DataFrame:
+    """The events under clocks that seven writes share."""
+    return event_history(spark, sf_dir).withColumn("author", F.col("hlc")).withColumn("hlc", F.floor(F.col("author") / 7).cast("long"))
+
+
+_SHARED = "(SELECT user_id AS id, event_id // 7 AS hlc, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id // 7 DESC, event_id DESC) AS rn FROM events)"
+
+
+@register("changes_page", f"SELECT id, hlc, event_type FROM {_SHARED} WHERE rn = 1 ORDER BY hlc, id LIMIT 20 OFFSET 20")
+def changes_page(spark, sf_dir):
+    """The second page of a feed whose clocks tie, from the first page's token."""
+    h = shared_clocks(spark, sf_dir)
+    _, token, _ = changes.page(h, None, 20)
+    return changes.changes(h, since=token, limit=20).select("id", "hlc", "event_type")
+
+
+@register("changes_main", f"SELECT id, hlc FROM {_SHARED} WHERE rn = 1 AND event_type <> 'error'")
+def changes_main(spark, sf_dir):
+    return changes.changes(shared_clocks(spark, sf_dir), style="main", include_docs=False).select("id", "hlc")
+
+
+@register("channel_named", """WITH m AS (SELECT *, event_type IN ('click', 'purchase') AS now FROM events),
+w AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY user_id ORDER BY event_id), false) AS was FROM m),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM w WHERE now OR was)
+SELECT user_id AS id, event_id AS hlc FROM l WHERE rn = 1 AND (now OR event_type = 'error')""")
+def channel_named(spark, sf_dir):
+    c = changes.Channels(clicks=["event_type/click"], buys=["event_type/click", "event_type/purchase"])
+    return c.feed(event_history(spark, sf_dir), "buys", "topics", include_leaves=False).select("id", "hlc")
+
+
 @register("changes_count", f"SELECT count(*) AS n FROM {_LATEST} WHERE event_id > 700")
 def changes_count(spark, sf_dir):
     return changes.count_since(event_history(spark, sf_dir), 700)
@@ -368,16 +426,34 @@ def version_vectors(spark, sf_dir):
     return vv.select("id", F.try_element_at("vv", F.lit("a")).alias("a"), F.try_element_at("vv", F.lit("b")).alias("b"))
 
 
+@register("version_status", """WITH v AS (SELECT user_id, event_id, event_id % 2 AS author, event_id = max(event_id) OVER (PARTITION BY user_id) AS last, max(event_id) OVER (PARTITION BY user_id, event_id % 2) AS own FROM events)
+SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, CASE WHEN last THEN 'current' WHEN event_id < own THEN 'superseded' ELSE 'conflict' END AS status FROM v""")
+def version_status(spark, sf_dir):
+    return changes.versions(event_versions(spark, sf_dir), author_col="author").select("id", "hlc", "status")
+
+
+@register("replicate_batches", "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, event_type AS body FROM events WHERE event_id <= 400 OR event_type = 'purchase'")
+def replicate_batches(spark, sf_dir):
+    """A filtered replication in three batches to a target that holds the first writes."""
+    path, v, at = scratch.folder(spark, "replica"), event_versions(spark, sf_dir), []
+    write = lambda df: df.write.mode("append").parquet(path)
+    write(v.where("hlc <= 400"))
+    n = v.count()
+    job = replication.Replicator(lambda: v, lambda: spark.read.parquet(path), write, lambda: at[-1] if at else None, at.append, -(-n // 3), F.col("body") == "purchase")
+    job.run()
+    return spark.read.parquet(path).select("id", "hlc", "body")
+
+
 @register("last_write_wins", f"SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, event_type AS body FROM {_LATEST}")
 def last_write_wins(spark, sf_dir):
     return replication.last_write_wins(event_versions(spark, sf_dir)).select("id", "hlc", "body")
 
 
-@register("merge_branch", "SELECT count(*) AS n, count(DISTINCT user_id) AS ids FROM events")
+@register("merge_branch", "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, event_type AS body FROM events WHERE event_id <= 800 OR event_type = 'click'")
 def merge_branch(spark, sf_dir):
     v = event_versions(spark, sf_dir)
-    merged = replication.merge_branch(replication.branch(v, 500), v, 500)
-    return merged.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    fork = replication.branch(v, 500).unionByName(v.where("hlc > 500 AND body = 'click'"))
+    return replication.merge_branch(v.where("hlc <= 800"), fork, 500).select("id", "hlc", "body")
 
 
 @register("clock_tokens", "SELECT event_id AS id, lower(lpad(to_hex(epoch_us(ts) // 1000), 16, '0') || lpad(to_hex(event_id), 8, '0')) AS token FROM events")
@@ -457,9 +533,17 @@ def attachment_diff(spark, sf_dir):
     return replication.attachment_diff(a, a.where("hlc < 100"))
 
 
-@register("attachment_latest", f"WITH {_ATTACHED} SELECT id, name, max(hlc) AS hlc FROM a GROUP BY id, name")
+@register("attachment_latest", f"WITH {_ATTACHED} SELECT id, name, max(hlc) AS hlc, arg_max(digest, hlc) AS digest FROM a GROUP BY id, name")
 def attachment_latest(spark, sf_dir):
-    return replication.latest_attachments(_attachments(spark, sf_dir)).select("id", "name", "hlc")
+    return replication.latest_attachments(_attachments(spark, sf_dir)).select("id", "name", "hlc", "digest")
+
+
+@register("attachment_get", "SELECT 'site1' AS id, '2' AS name, sha256(arg_max(html, page_id)) AS digest FROM pages WHERE page_id % 10 = 1 AND page_id % 3 = 2")
+def attachment_get(spark, sf_dir):
+    """The content of one attachment that was put many times."""
+    p = load(spark, sf_dir, "pages")
+    feed = _attachments(spark, sf_dir).join(p.select(F.col("page_id").alias("hlc"), "html"), "hlc").where("id = 'site1' AND name = '2'")
+    return replication.latest_attachments(feed).select("id", "name", F.sha2("html", 256).alias("digest"))
 
 
 @register("doc_update", "SELECT c_custkey AS id, c_mktsegment || '!' AS seg, 1 AS n FROM customer")
@@ -469,7 +553,12 @@ def doc_update(spark, sf_dir):
     return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.try_element_at(new, F.lit("seg")).alias("seg"), documents.size(new).alias("n"))
 
 
-@register("conflicts_fold", f"SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, event_type AS body FROM {_LATEST}")
+@register("conflicts_fold", f"""WITH c AS (SELECT user_id, count(DISTINCT event_id % 2) - 1 AS n FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS id, event_id AS hlc, event_type AS body, n AS n_conflicts FROM {_LATEST} JOIN c USING (user_id)""")
 def conflicts_fold(spark, sf_dir):
-    v = event_versions(spark, sf_dir).withColumn("vv", F.lit("{}"))
-    return replication.apply_versions(v).select("id", "hlc", "body")
+    """Two authors who each saw their own last write only: the older head stays as a conflict."""
+    from pyspark.sql import Window
+
+    before = F.lag("hlc").over(Window.partitionBy("id", "author").orderBy("hlc"))
+    v = event_versions(spark, sf_dir).withColumn("vv", F.coalesce(F.to_json(F.when(before.isNotNull(), F.create_map("author", before))), F.lit("{}")))
+    return replication.apply_versions(v).select("id", "hlc", "body", "n_conflicts")

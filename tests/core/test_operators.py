@@ -21,11 +21,33 @@ def test_bm25_formula(spark):
     want = lambda tf, n: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg))
     assert got == pytest.approx({"a": want(2, 3), "d": want(1, 3)}, abs=1e-9)
     assert two.search("").count() == 0 and two.search("none").count() == 0
-    w = {r["id"]: r["vector"] for r in two.weights().collect()}
-    assert w["a"]["rust"] == pytest.approx(want(2, 3))
+    w = {(r["id"], r["term"]): r["weight"] for r in two.weights().collect()}
+    assert w["a", "rust"] == pytest.approx(want(2, 3))
+    assert {("a", r["term"]): r["weight"] for r in two.get_vector("a").collect()} == pytest.approx({k: x for k, x in w.items() if k[0] == "a"})
+    least = search.BM25(two.docs, min_length=3).stats().first()
+    assert (least["n_docs"], least["n_tokens"]) == (4, 4)
     assert {r["term"]: r["weight"] for r in two.encode("rust zig").collect()}.keys() == {"rust", "zig"}
 
 
+def test_term_index_equals_scan(spark, tmp_path):
+    r = random.Random(4)
+    texts = {str(i): " ".join(r.choice(["rust", "go", "zig", "ada", "c", "É"]) for _ in range(r.randrange(12))) for i in range(40)}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "id string, text string")
+    index = search.TermIndex(spark, str(tmp_path / "a"))
+    index.add(frame({k: "rust rust" if int(k) < 9 else t for k, t in texts.items()}))
+    index.add(frame({k: t for k, t in texts.items() if int(k) < 9}))
+    index.remove(["20", "21", "nobody"])
+    texts.pop("20"), texts.pop("21")
+    one = index.merge(str(tmp_path / "b"))
+    for query in ("rust zig rust", "ada", "none"):
+        want = {x["id"]: x["score"] for x in search.BM25(frame(texts)).scores(query).collect()}
+        for i in (index, one):
+            assert {x["id"]: x["score"] for x in i.scores(query).collect()} == pytest.approx(want), query
+    assert index.stats().first() == search.BM25(frame(texts)).stats().first() and index.search("").count() == 0
+    plan = one._postings(["rust"])._jdf.queryExecution().toString()
+    assert "EqualTo(term,rust)" in plan and "PartitionFilters: [isnotnull(f" in plan
+
+
 def test_tokenizer():
     assert search.tokenize("Été 3x-Y_z") == ["t", "3x", "y", "z"]
 
@@ -116,13 +138,53 @@ def test_changes(history):
     assert seq(changes.as_of(history, 2)) == [1, 2] or sorted(seq(changes.as_of(history, 2))) == [1, 2]
     assert sorted(seq(changes.as_of(history, 5))) == [3, 4]
     rows, token, more = changes.page(history, 0, 2)
-    assert [r["hlc"] for r in rows] == [3, 5] and token == 5 and more
+    assert [r["hlc"] for r in rows] == [3, 5] and token == (5, "b") and more
     assert changes.has_since(history, 5) and not changes.has_since(history, 6)
     assert sorted(seq(changes.retain(history, 5))) == [3, 6]
     with pytest.raises(ValueError):
         changes.as_of(history, 1, floor=2)
 
 
+def test_pages_keep_documents_that_share_a_clock(spark):
+    h = spark.createDataFrame([(f"d{i}", 7 + i // 6, False, "x") for i in range(10)], "id string, hlc long, deleted boolean, k string")
+    seen, at, more = [], None, True
+    while more:
+        rows, at, more = changes.page(h, at, 4)
+        seen += [r["id"] for r in rows]
+    assert seen == [f"d{i}" for i in range(10)] and changes.page(h, at, 4)[0] == []
+
+
+def test_changes_style_and_docs(history):
+    assert [r["id"] for r in changes.changes(history, style="main").collect()] == ["a", "c"]
+    assert changes.changes(history, include_docs=False).columns == ["id", "hlc", "deleted"]
+    with pytest.raises(ValueError):
+        changes.changes(history, style="other")
+
+
+def test_latest_breaks_ties_by_author(spark):
+    h = spark.createDataFrame([("a", 1, "n1", "x"), ("a", 1, "n2", "y"), ("a", 1, "n2", "z"), ("b", 1, "n1", None)], "id string, hlc long, author string, k string")
+    for parts in (1, 3):
+        assert sorted((r["id"], r["author"], r["k"]) for r in changes.latest(h.repartition(parts)).collect()) == [("a", "n2", "z"), ("b", "n1", None)]
+
+
+def test_version_status(spark):
+    rows = [("d", 1, "a", {}), ("d", 2, "a", {"a": 1}), ("d", 3, "b", {"a": 1}), ("e", 4, "a", {}), ("e", 5, "b", {"a": 4})]
+    h = spark.createDataFrame(rows, "id string, hlc long, author string, seen map<string,long>")
+    got = {r["hlc"]: r["status"] for r in changes.versions(h, author_col="author", seen_col="seen").collect()}
+    assert got == {1: "superseded", 2: "conflict", 3: "current", 4: "superseded", 5: "current"}
+    assert changes.version_body(h, "d", 2, "a").count() == 1
+    with pytest.raises(ValueError):
+        changes.version_body(h, "d", 2, floor=3)
+
+
+def test_channels_are_checked(history):
+    c = changes.Channels(one=["k/x"])
+    assert c.feed(history, "one", "topics").count() == 2
+    for bad in (lambda: c.feed(history, "two", "topics"), lambda: c.feed(history, "one", "topics", doc_ids=["a"]), lambda: changes.Channels(none=[])):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_channel(history):
     feed = {r["id"]: (r["hlc"], r["left"]) for r in changes.channel_feed(history, ["k/x"], "topics").collect()}
     assert feed == {"a": (3, True), "c": (6, True)}
@@ -195,8 +257,53 @@ def test_store(spark, tmp_path):
     db.delete(["b"], "n", 4)
     assert [r["id"] for r in db.collection().query("SELECT x FROM db WHERE x = 3").collect()] == ["a"]
     assert db.collection().query("SELECT * FROM db").count() == 1 and db.info().first()["n_writes"] == 4
-    db.put_attachment("a", "f", "text/plain", b"hey")
-    assert bytes(db.get_attachment("a", "f").first()["data"]) == b"hey" and db.attachments("a").first()["length"] == 3
+    db.put_attachment("a", "f", "text/plain", b"hey", 5)
+    db.put_attachment("a", "f", "text/plain", b"hello", 6)
+    db.put_attachment("a", "g", "text/plain", b"g", 6)
+    assert bytes(db.get_attachment("a", "f").first()["data"]) == b"hello" and {r["name"]: r["length"] for r in db.attachments("a").collect()} == {"f": 5, "g": 1}
+    db.delete_attachment("a", "f", 7)
+    assert db.get_attachment("a", "f").count() == 0 and [r["name"] for r in db.attachments().collect()] == ["g"]
+    assert [(r["name"], r["deleted"]) for r in db.attachment_feed(6).collect()] == [("f", True)]
+
+
+def test_store_results_per_document(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    docs = lambda *rows: spark.createDataFrame(rows, "id string, json string")
+    db.put(docs(("a", '{"x":1}'), ("b", '{"x":2}')), "n", 1)
+    seen = spark.createDataFrame([("a", 1), ("b", 0)], "id string, hlc long")
+    out = db.put(docs(("a", '{"x":5}'), ("b", '{"x":6}'), ("c", '{"x":7}'), ("c", '{"x":8}')), "n", 2, seen, partial=True)
+    assert sorted((r["id"], r["ok"], r["error"]) for r in out.collect()) == [("a", True, None), ("b", False, "conflict"), ("c", False, "duplicate"), ("c", True, None)]
+    assert {r["id"]: r["hlc"] for r in db.current_rows().collect()} == {"a": 2, "b": 1, "c": 2}
+    assert [r["id"] for r in db.fold_docs("b").collect()] == ["b"] and db.get(["a", "z"]).count() == 1
+
+
+def test_store_compacts_branches_and_replicates(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    put = lambda d, i, x, hlc, who="n": d.put(spark.createDataFrame([(i, f'{{"x":{x}}}')], "id string, json string"), who, hlc)
+    state = lambda d: {r["id"]: r["json"] for r in d.current_rows().where(~F.col("deleted")).collect()}
+    for hlc, i in enumerate("abca", 1):
+        put(db, i, hlc, hlc)
+    before = state(db)
+    db.compact()
+    assert state(db) == before == {"a": '{"x":4}', "b": '{"x":2}', "c": '{"x":3}'}
+    put(db, "b", 9, 5)
+    assert state(db)["b"] == '{"x":9}' and {r["id"]: r["hlc"] for r in db.as_of(3).collect()} == {"a": 1, "b": 2, "c": 3}
+    fork = db.branch(str(tmp_path / "fork"), 3)
+    assert state(fork) == {"a": '{"x":1}', "b": '{"x":2}', "c": '{"x":3}'}
+    put(fork, "c", 50, 6, "f")
+    assert state(db)["c"] == '{"x":3}'
+    db.merge(fork)
+    assert state(db)["c"] == '{"x":50}'
+    other = Database(spark, str(tmp_path / "other"))
+    assert db.replicate_to(other, batch=2) == 6 and state(other) == state(db) and db.replicate_to(other) == 0
+    put(db, "d", 1, 8)
+    assert db.replicate_to(other) == 1 and state(other) == state(db)
+    db.retain(5)
+    assert state(db) == state(other) and db.floor() == 5 and db.history().count() == 4
+    with pytest.raises(ValueError):
+        db.as_of(2)
+    with pytest.raises(ValueError):
+        db.merge(other)
 
 
 def test_sessions(spark):
