@@ -7,20 +7,35 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import Scratch
 
+#: A node with more neighbours than this, and than a ten-thousandth of all edge ends, is a hub.
+HUB_DEGREE, MOST_HUBS = 256, 10_000
 
-def large_star(edges: DataFrame) -> DataFrame:
+
+def _hung(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """v on the m of its u, for edges (u, v). least: u, m, n, one row per node.
+
+    Hubs, at most MOST_HUBS as their neighbours are counted, come by broadcast, so their edges
+    stay where they are; the other edges are shuffled by u.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("__m")))
+    told = edges.join(hubs, "u", "left")
+    near = told.where("__m IS NOT NULL").select(F.col("v").alias("u"), F.col("__m").alias("v"))
+    far = told.where("__m IS NULL").drop("__m").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return near.unionByName(far.select(F.col("v").alias("u"), F.col("m").alias("v")))
+
+
+def large_star(edges: DataFrame, hub: int) -> DataFrame:
     """Every larger neighbour of u is hung on the smallest of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _hung(both.where("v > u"), least, hub).where("u != v").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, hub: int) -> DataFrame:
     """u and its smaller neighbours are hung on the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return _hung(down, least, hub).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -36,7 +51,10 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         if (row[0], row[1]) == mark or row[0] == 0:
             break
         mark, i = (row[0], row[1]), i + 1
-        now = scratch.save(small_star(large_star(now)), f"{name}_{i}")
-        scratch.drop(f"{name}_{i - 1}")
+        hub = max(HUB_DEGREE, 2 * row[0] // MOST_HUBS)  # so at most MOST_HUBS nodes have more
+        turned = scratch.save(large_star(now, hub), f"{name}_{i}_large")
+        # a large star has no more distinct edges than it was given
+        now = scratch.save(small_star(turned, hub), f"{name}_{i}")
+        scratch.drop(f"{name}_{i - 1}", f"{name}_{i}_large")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
