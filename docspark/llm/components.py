@@ -14,14 +14,15 @@ HUB_DEGREE, MOST_HUBS = 256, 10_000
 def _hung(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     """v on the m of its u, for edges (u, v). least: u, m, n, one row per node.
 
-    Hubs, at most MOST_HUBS as their neighbours are counted, come by broadcast, so their edges
-    stay where they are; the other edges are shuffled by u.
+    Hubs, at most MOST_HUBS as their neighbours are counted, come by broadcast, and their edges
+    are spread over all tasks of the join that serves the other nodes.
     """
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("__m")))
-    told = edges.join(hubs, "u", "left")
-    near = told.where("__m IS NOT NULL").select(F.col("v").alias("u"), F.col("__m").alias("v"))
-    far = told.where("__m IS NULL").drop("__m").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return near.unionByName(far.select(F.col("v").alias("u"), F.col("m").alias("v")))
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("__hub")))
+    told = edges.join(hubs, "u", "left").withColumn("__far", F.col("__hub").isNull())
+    told = told.withColumn("__key", F.when(F.col("__far"), F.col("u")).otherwise(F.xxhash64("v")))
+    side = least.select(F.col("u").alias("__u"), F.col("m").alias("__m"))
+    joined = told.join(side, (F.col("__key") == F.col("__u")) & F.col("__far"), "left")
+    return joined.select(F.col("v").alias("u"), F.coalesce("__hub", "__m").alias("v"))
 
 
 def large_star(edges: DataFrame, hub: int) -> DataFrame:
@@ -52,9 +53,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
             break
         mark, i = (row[0], row[1]), i + 1
         hub = max(HUB_DEGREE, 2 * row[0] // MOST_HUBS)  # so at most MOST_HUBS nodes have more
-        turned = scratch.save(large_star(now, hub), f"{name}_{i}_large")
-        # a large star has no more distinct edges than it was given
-        now = scratch.save(small_star(turned, hub), f"{name}_{i}")
-        scratch.drop(f"{name}_{i - 1}", f"{name}_{i}_large")
+        now = scratch.save(small_star(large_star(now, hub), hub), f"{name}_{i}")  # a large star has no more edges than it was given
+        scratch.drop(f"{name}_{i - 1}")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

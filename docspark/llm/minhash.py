@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ from docspark.llm.textnum import ASCII_SPACE, chunks, joined, mix, shingle_hashe
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
-BUCKET_BLOCK, FAMILY_BLOCK = 2048, 256
+#: Members of a bucket, and shingles of a family, that one task holds at a time.
+BUCKET_BLOCK, FAMILY_BLOCK = 16_384, 1 << 19
 _RNG = np.random.default_rng(7)
 MUL = _RNG.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -88,18 +90,23 @@ def _sign_batches(k: int):
     return sign
 
 
-def near_edges(ids: list[int], groups: list[int | None], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the relation: breadth-first, each member meets only those not reached yet.
+def near_edges(ids: list[int], groups: list[int | None], near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
+    """A spanning forest of the relation, and the first member of each member's tree.
 
-    Members of one group (None: alone) are known to be connected and are not compared.
+    Breadth-first, each member meets only those not reached yet. Members of one group (None:
+    alone) are known to be connected and are not compared.
     """
     own = np.array([i if g is None else g for i, g in zip(ids, groups, strict=True)])
     left = np.arange(len(ids))
-    edges = []
+    edges, heads = [], [0] * len(ids)
     while len(left):
-        frontier, left = [int(left[0])], left[1:]
-        while frontier and len(left):
+        first = int(left[0])
+        frontier, left = [first], left[1:]
+        while frontier:
             at = frontier.pop()
+            heads[at] = ids[first]
+            if not len(left):
+                continue
             same = own[left] == own[at]
             frontier += left[same].tolist()
             left = left[~same]
@@ -108,124 +115,138 @@ def near_edges(ids: list[int], groups: list[int | None], near: Callable[[int, np
             edges += [(ids[at], ids[x]) for x in reached.tolist()]
             frontier += reached.tolist()
             left = left[~yes]
-    return edges
+    return edges, heads
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
-    """Rows with equal first n_keys columns, which come sorted."""
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The first n_keys columns, which come sorted, and the rows that share them."""
     key, rows = None, []
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         for row in zip(*columns, strict=True):
             if row[:n_keys] != key:
-                if len(rows) > 1:
-                    yield rows
+                if rows:
+                    yield key, rows
                 key, rows = row[:n_keys], []
             rows.append(row[n_keys:])
-    if len(rows) > 1:
-        yield rows
+    if rows:
+        yield key, rows
 
 
-def _edge_batches(edges: Iterator[tuple[int, int]], size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
-    for e in edges:
-        out.append(e)
-        if len(out) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+FOUND = "g long, u long, v long, label boolean"
 
 
-def _bucket_edges(least_equal: int):
+def _found_batches(found: Iterator[tuple[int, int, int, bool]], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("g", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("label", pa.bool_())])
+    while part := list(islice(found, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+def _meeting(relation: Callable[[list[tuple]], Callable]):
+    """Edges among the rows (g, bi, bj, parts, rep, comp, payload) of each pair of blocks; and each member's tree where parts, the group's blocks, are several."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges():
-            for rows in _groups(batches, 4):
-                sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), HASHES)
-                yield from near_edges([r[0] for r in rows], [r[1] for r in rows], lambda at, left, s=sketch: (s[left] == s[at]).sum(1) >= least_equal)
+        def found():
+            for (g, _, _, parts), rows in _groups(batches, 4):
+                if len(rows) == 1:
+                    if parts > 1:
+                        yield g, rows[0][0], rows[0][0], True
+                    continue
+                ids = [r[0] for r in rows]
+                edges, heads = near_edges(ids, [r[1] for r in rows], relation([r[2:] for r in rows]))
+                yield from ((g, u, v, False) for u, v in edges)
+                if parts > 1:
+                    yield from ((g, u, v, True) for u, v in zip(ids, heads, strict=True))
 
-        yield from _edge_batches(edges())
+        yield from _found_batches(found())
 
     return run
 
 
-def _family_edges(k: int, percent: int, least_equal: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges():
-            for rows in _groups(batches, 3):
-                sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), HASHES)
-                sets = list(shingle_sets([r[3] for r in rows], k))
-                sizes = np.array([len(s) for s in sets])
-
-                def near(at, left, sketch=sketch, sets=sets, sizes=sizes):
-                    a, n = sets[at], sizes[at]
-                    yes = (sketch[left] == sketch[at]).sum(1) >= least_equal
-                    yes &= np.minimum(sizes[left], n) * 100 >= percent * np.maximum(sizes[left], n)
-                    for i in np.flatnonzero(yes).tolist():
-                        b = sets[left[i]]
-                        where = np.searchsorted(a, b)
-                        where[where == len(a)] = 0
-                        common = int((a[where] == b).sum())
-                        yes[i] = 100 * common >= percent * (n + len(b) - common)
-                    return yes
-
-                yield from near_edges([r[0] for r in rows], [r[1] for r in rows], near)
-
-        yield from _edge_batches(edges())
+def _alike(least_equal: int):
+    """Members whose sketches agree in so many places. payload: sketch."""
 
-    return run
+    def relation(rows: list[tuple]) -> Callable:
+        sketch = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), HASHES)
+        return lambda at, left: (sketch[left] == sketch[at]).sum(1) >= least_equal
+
+    return relation
 
 
-def _meet(rows: DataFrame, keys: list[str], payload: list[str], run) -> DataFrame:
-    """Edges found among the rows (keys, bi, bj, rep, comp, payload) of each pair of blocks."""
-    dealt = [*keys, "bi", "bj"]
-    return rows.select(*dealt, "rep", "comp", *payload).repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(run, "u long, v long")
+def _linked(k: int, percent: int, least_equal: int):
+    """Members whose full sets are similar. payload: sketch, text."""
 
+    def relation(rows: list[tuple]) -> Callable:
+        sketch = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), HASHES)
+        sets = list(shingle_sets([r[1] for r in rows], k))
+        sizes = np.array([len(s) for s in sets])
 
-def _block(n: Column) -> Column:
-    """A member's block of n."""
-    return F.pmod(F.xxhash64("rep", F.lit(3)), n)
+        def near(at: int, left: np.ndarray) -> np.ndarray:
+            a, n = sets[at], sizes[at]
+            yes = (sketch[left] == sketch[at]).sum(1) >= least_equal
+            yes &= np.minimum(sizes[left], n) * 100 >= percent * np.maximum(sizes[left], n)
+            for i in np.flatnonzero(yes).tolist():
+                b = sets[left[i]]
+                where = np.searchsorted(a, b)
+                where[where == len(a)] = 0
+                common = int((a[where] == b).sum())
+                yes[i] = 100 * common >= percent * (n + len(b) - common)
+            return yes
 
+        return near
+
+    return relation
 
-def spanning_links(scratch: Scratch, name: str, members: DataFrame, keys: list[str], payload: list[str], block: int, run) -> DataFrame:
-    """Links whose components are those of the relation within each group of members (keys, rep, payload).
 
-    Every member meets its own block of its group. For groups of several blocks the components
-    so far send one head each, and the heads of a group meet in pairs of blocks. Where a group
-    still has more than one component, the members of all but its largest meet every block. A
+def spanning_links(scratch: Scratch, name: str, members: DataFrame, payload: list[str], block: int, relation: Callable) -> DataFrame:
+    """Links (u, v) whose components are those of the relation within each group of members (g, rep, weight, payload).
+
+    Every member meets its own block of its group, of weight about block. Where a group has
+    several blocks, their trees send one head each, and the heads meet in pairs of blocks. Where
+    it still has more than one component, the members of all but the largest meet every block. A
     pair is left out only if it is known to be connected, so the work on a group of copies is
     linear, and nobody's partners are capped.
     """
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    none = F.lit(None).cast("long").alias("comp")
-    dealt = members.join(sizes, keys).withColumn("bi", _block(F.ceil(F.col("__n") / F.lit(block)).cast("long")))
-    near = scratch.save(_meet(dealt.withColumn("bj", F.col("bi")).withColumn("comp", none), keys, payload, run), f"{name}_near")
-    large = scratch.save(sizes.where(F.col("__n") > block), f"{name}_large")
-    if not large.limit(1).count():
-        return near
 
-    def labelled(links: DataFrame, step: str) -> DataFrame:
-        """keys, rep, comp of the members of large groups."""
-        of = components(scratch, links, f"{name}_{step}").select(F.col("node").alias("__node"), F.col("component").alias("__of"))
-        inside = members.select(*keys, "rep").join(large.select(*keys), keys).join(of, F.col("rep") == F.col("__node"), "left")
-        return scratch.save(inside.select(*keys, "rep", F.coalesce("__of", "rep").alias("comp")), f"{name}_{step}_labels")
-
-    heads = labelled(near, "first").groupBy(*keys, "comp").agg(F.min("rep").alias("rep"))
+    def meet(rows: DataFrame) -> DataFrame:
+        dealt = ["g", "bi", "bj"]
+        return rows.select(*dealt, "parts", "rep", "comp", *payload).repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(_meeting(relation), FOUND)
+
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    none = F.lit(None).cast("long")
+    sizes = members.groupBy("g").agg(F.sum("weight").alias("__w"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    parts = sizes.select(F.col("g").alias("__g"), F.ceil(F.col("__w") / F.lit(block)).cast("long").alias("parts"))
+    dealt = members.join(parts, F.col("g") == F.col("__g")).withColumn("bi", own).withColumn("bj", own).withColumn("comp", none)
+    first = scratch.save(meet(dealt), f"{name}_first")
+    links = first.where("NOT label").select("u", "v")
+    labels = first.where("label").select(F.col("g").alias("__g"), F.col("u").alias("__rep"), F.col("v").alias("head"))
+    heads = labels.groupBy("__g", "head").agg(F.count(F.lit(1)).alias("n"))
+    heads = heads.join(members.select("g", "rep", "weight"), (F.col("__g") == F.col("g")) & (F.col("head") == F.col("rep"))).select("__g", "head", "n", F.col("weight").alias("w"))
     heads = scratch.save(heads, f"{name}_heads")
-    many = heads.groupBy(*keys).agg(F.count(F.lit(1)).alias("__h")).where("__h > 1")
-    many = many.select(*keys, F.ceil(F.col("__h") / F.lit(block)).cast("long").alias("__blocks"))
-    met = heads.join(many, keys).join(members, [*keys, "rep"]).withColumn("__own", _block(F.col("__blocks")))
-    met = met.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
-    met = met.withColumn("bi", F.least("__own", "__other")).withColumn("bj", F.greatest("__own", "__other"))
-    links = scratch.save(near.unionByName(_meet(met, keys, payload, run)), f"{name}_met")
+    many = heads.groupBy(F.col("__g").alias("__of")).agg(F.count(F.lit(1)).alias("__h"), F.ceil(F.sum("w") / F.lit(block)).cast("long").alias("parts")).where("__h > 1").drop("__h")
+    if not many.limit(1).count():
+        return links
 
-    labels = labelled(links, "second")
-    groups = labels.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys)
-    left = groups.agg(F.max(F.struct("n", "comp"))["comp"].alias("__largest"), F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__comps")).where("__comps > 1")
-    rows = labels.join(left, keys).join(members, [*keys, "rep"]).withColumn("__blocks", F.ceil(F.col("__n") / F.lit(block)).cast("long"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)
-    rows = rows.withColumn("bi", F.explode(F.when(F.col("comp") == F.col("__largest"), F.array(_block(F.col("__blocks")))).otherwise(every))).withColumn("bj", F.col("bi"))
-    return links.unionByName(_meet(rows, keys, payload, run))
+    met = heads.join(many, F.col("__g") == F.col("__of")).join(members, (F.col("__g") == F.col("g")) & (F.col("head") == F.col("rep")))
+    met = met.withColumn("__own", own).withColumn("__other", F.explode(every)).withColumn("comp", none)
+    met = met.withColumn("bi", F.least("__own", "__other")).withColumn("bj", F.greatest("__own", "__other"))
+    second = scratch.save(meet(met.withColumn("parts", F.lit(1).cast("long"))).select("u", "v"), f"{name}_second")
+    links = links.unionByName(second)
+
+    of = components(scratch, second, f"{name}_joined")
+    told = heads.join(of, F.col("head") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "head")).drop("node", "component")
+    told = scratch.save(told, f"{name}_told")
+    sums = told.groupBy("__g", "comp").agg(F.sum("n").alias("n")).groupBy(F.col("__g").alias("__of"))
+    left = sums.agg(F.max(F.struct("n", "comp"))["comp"].alias("__largest"), F.count(F.lit(1)).alias("__comps")).where("__comps > 1").select("__of", "__largest")
+    left = scratch.save(left, f"{name}_left")
+    if not left.limit(1).count():
+        return links
+    rows = labels.join(told.select(F.col("__g").alias("__in"), F.col("head").alias("__head"), "comp"), (F.col("__g") == F.col("__in")) & (F.col("head") == F.col("__head")))
+    rows = rows.join(left, F.col("__g") == F.col("__of")).select("__g", "__rep", "comp", "__largest")
+    rows = rows.join(members, (F.col("__g") == F.col("g")) & (F.col("__rep") == F.col("rep"))).drop("__g").join(parts, F.col("g") == F.col("__g"))
+    rows = rows.withColumn("bi", F.explode(F.when(F.col("comp") == F.col("__largest"), F.array(own)).otherwise(every))).withColumn("bj", F.col("bi"))
+    return links.unionByName(meet(rows.withColumn("parts", F.lit(1).cast("long"))).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,19 +259,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     # classes of equal sets; sketches and bands of a class are all alike
     classes = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     classes = scratch.save(classes, "classes")
-    reps = signed.join(classes.select(F.col("digest").alias("__g"), "rep"), (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["digest", "rep"]).select("rep", "sketch", "bands")
+    reps = signed.join(classes.select(F.col("digest").alias("__g"), "rep", "n"), (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["digest", "rep"]).select("rep", "n", "sketch", "bands")
     reps = scratch.save(reps, "reps")
-    band = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    band = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = band.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     mean = percent / 100
     least = mean + (1 - mean) / 256
     least_equal = max(1, int(HASHES * (least - 5 * (least * (1 - least) / HASHES) ** 0.5)))
-    # sketches join only the few rows whose bucket has company
-    shared = band.join(buckets.select("band", "key"), ["band", "key"]).join(reps.select("rep", "sketch"), "rep")
-    likely = spanning_links(scratch, "likely", shared, ["band", "key"], ["sketch"], BUCKET_BLOCK, _bucket_edges(least_equal))
+    # sketches join only the few rows whose bucket has company; a band's number is mixed into its key
+    shared = band.join(buckets.select("key"), "key").join(reps.select("rep", "sketch"), "rep")
+    shared = scratch.save(shared.select(F.col("key").alias("g"), "rep", F.lit(1).alias("weight"), "sketch"), "shared")
+    likely = spanning_links(scratch, "likely", shared, ["sketch"], BUCKET_BLOCK, _alike(least_equal))
     family = scratch.save(components(scratch, likely, "family"), "families")
-    members = family.join(reps.select("rep", "sketch"), F.col("node") == F.col("rep")).join(slim, F.col("node") == F.col("doc_id")).select("component", "rep", "sketch", "text")
-    links = spanning_links(scratch, "exact", members, ["component"], ["sketch", "text"], FAMILY_BLOCK, _family_edges(shingle, percent, least_equal))
+    members = family.join(reps.select("rep", "n", "sketch"), F.col("node") == F.col("rep")).join(slim, F.col("node") == F.col("doc_id"))
+    members = members.select(F.col("component").alias("g"), "rep", F.col("n").alias("weight"), "sketch", "text")
+    links = spanning_links(scratch, "exact", members, ["sketch", "text"], FAMILY_BLOCK, _linked(shingle, percent, least_equal))
     found = scratch.save(components(scratch, links, "links").where("node != component"), "components")
     by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__digest"), F.coalesce("component", "rep").alias("__component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(by_class, F.col("digest") == F.col("__digest"), "left")
