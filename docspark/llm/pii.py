@@ -3,32 +3,30 @@
 Generators of high recall propose spans: e-mail addresses, IP addresses, card numbers,
 international phone numbers, any long digit string with separators, and any long token.
 The first four are settled by their own tests (parts, Luhn, digit counts): a span that
-passes is always redacted. All candidates get format and context features of small finite
-domains, so the training table is the exact contingency table over all distinct texts, at
-most a few thousand cells. Depth-2 trees are boosted on the logistic loss over each hashed
-half of the texts and score the other half; each kind's cutoff is the lowest score whose
-selected candidates of both halves together still hold PRECISION positives. Labels are the tests' outcomes, for digit strings
-whether they lie in a tested span, and for tokens a strict form of key in an assignment;
-features never include the tests. Candidates over the cutoff join the redactions.
+passes is always redacted. All others get format and context features of small finite
+domains. Depth-2 trees are boosted on the logistic loss over PLANTED lines of planted
+personal data and look-alikes, of which a candidate is positive if it covers most of a
+planted span and little else. A third of the lines trains the trees, another sets each
+kind's cutoff, the lowest score at and above which PRECISION of the candidates are positive,
+and the last is left for measuring (`report`). Candidates over the cutoff join the redactions.
 
-Everything per row is a column expression. Patterns use possessive repeats and start only
-where a run starts, so their time is linear in the text and they never recurse.
+Everything per row is a column expression in one pass over the table. Patterns use possessive
+repeats and start only where a run starts, so their time is linear in the text and they never recurse.
 
 Defined cases: null text is empty and has no spans; positions are code points, end
 exclusive; equal rows give equal results; the control characters U+0001 and U+0002 are
-ordinary characters of no kind; an empty table gives an empty result; copies of a text count
-once in the table; where a half lacks a class, trees over both stand in for its own; without
-candidates of both classes no span is added; further columns are ignored.
+ordinary characters of no kind; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch, let, text_or_empty
+from docspark.llm.common import let, text_or_empty
+from docspark.llm.pii_truth import planted
 
 KINDS = ("email", "ip", "card", "phone", "number", "secret")
 PATTERNS = {
@@ -41,11 +39,14 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "phone": "+"}
 FEATURES = ("kind", "length", "digits", "before", "after", "word", "mix")
-SIZES = (len(KINDS), 5, 5, 5, 4, 2, 4)
-ROUNDS, RATE, PRECISION, LEAST = 24, 0.3, 0.95, 5
+SIZES = (len(KINDS), 5, 5, 5, 4, 3, 4)
+ROUNDS, RATE, PRECISION, LEAST = 32, 0.3, 0.95, 20
+#: Lines of planted truth: the bound of the training sample.
+PLANTED = 9_000
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 CONTEXT = 16
 NEAR = r"(?i)(?:mail|tel|phone|call|fax|mobil|card|visa|iban|account|host|addr|token|key|secret|passw|auth)"
+OTHER_NUMBERS = r"(?i)(?:sha|md5|commit|revision|tree|parent|checksum|digest|etag|uuid|order|isbn|item|date|version|release|page|rows|number|no\.|base64|data|file)"
 FOUND = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
 
 
@@ -102,18 +103,16 @@ def _candidate(kind: str, x: Column) -> Column:
     n, digits = F.char_length(m), F.char_length(F.regexp_replace(m, "[^0-9]", ""))
     last = F.right(before, F.lit(1))
     mix = F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("^[0-9A-Fa-f]+$"), 1).when(m.rlike("[0-9]"), 2).otherwise(3)
-    key = (digits > 0) & (m.rlike("^[0-9A-Fa-f]{32,}$") | (m.rlike("[a-z]") & m.rlike("[A-Z]"))) & before.rlike("[=:][\\x20\"']*$")
     return F.struct(
         x["start"].alias("start"),
         F.lit(KINDS.index(kind)).alias("kind"),
         x["end"].alias("end"),
         passes(kind, m).alias("valid"),
-        (key if kind == "secret" else F.lit(False)).alias("key"),
         _bins(n, 10, 16, 24, 40).alias("length"),
         _bins(digits, 1, 9, 12, 16).alias("digits"),
         F.when(last == "", 0).when(last.rlike("[=:\"']"), 1).when(last == "+", 2).when(last.rlike("\\s"), 3).otherwise(4).alias("before"),
         F.when(after == "", 0).when(after.rlike("[\\s,.;]"), 1).when(after.rlike("[A-Za-z0-9]"), 2).otherwise(3).alias("after"),
-        before.rlike(NEAR).cast("int").alias("word"),
+        F.when(before.rlike(NEAR), 1).when(before.rlike(OTHER_NUMBERS), 2).otherwise(0).alias("word"),
         mix.alias("mix"),
     )
 
@@ -122,7 +121,7 @@ def _describe(kind: str):
     return lambda x: _candidate(kind, x)
 
 
-CANDIDATES = "array<struct<start:int,kind:int,end:int,valid:boolean,key:boolean,length:int,digits:int,before:int,after:int,word:int,mix:int>>"
+CANDIDATES = "array<struct<start:int,kind:int,end:int,valid:boolean,length:int,digits:int,before:int,after:int,word:int,mix:int>>"
 
 
 def candidates(text: Column) -> Column:
@@ -165,7 +164,7 @@ def fit(cells: list[tuple[tuple[int, ...], float, float]]) -> list:
         return []
     prior, tests = math.log(pos / (total - pos)), _tests()
     same = (tests[0], prior, prior)
-    scores, trees = [prior] * len(cells), [(tests[0], same, same)]  # the prior is a tree too, so scores of both halves' trees compare
+    scores, trees = [prior] * len(cells), [(tests[0], same, same)]  # the prior is a tree too
     side = {t: [_goes(c, t) for c, _, _ in cells] for t in tests}
 
     def best(rows: list[int], g: list[float], h: list[float]) -> tuple[float, tuple, float, float]:
@@ -195,14 +194,6 @@ def fit(cells: list[tuple[tuple[int, ...], float, float]]) -> list:
     return trees
 
 
-def _merged(cells: list[tuple[tuple[int, ...], float, float]]) -> list[tuple[tuple[int, ...], float, float]]:
-    sums: dict[tuple[int, ...], tuple[float, float]] = {}
-    for c, n, p in cells:
-        a, b = sums.get(c, (0.0, 0.0))
-        sums[c] = (a + n, b + p)
-    return [(c, *s) for c, s in sorted(sums.items())]
-
-
 def raw_score(trees: list, cell: tuple[int, ...]) -> float:
     out = 0.0
     for top, yes, no in trees:
@@ -211,11 +202,11 @@ def raw_score(trees: list, cell: tuple[int, ...]) -> float:
     return out
 
 
-def calibrate(halves: list[tuple[list, list[tuple[tuple[int, ...], float, float]]]]) -> dict[int, float]:
-    """Per kind the lowest score at and above which at least PRECISION of the candidates are positive. halves: trees of the other half, cells."""
+def calibrate(trees: list, cells: list[tuple[tuple[int, ...], float, float]]) -> dict[int, float]:
+    """Per kind the lowest score at and above which at least PRECISION of the candidates are positive."""
     out = {}
     for kind in range(len(KINDS)):
-        ranked = sorted(((raw_score(trees, c), n, p) for trees, cells in halves for c, n, p in cells if c[0] == kind), reverse=True)
+        ranked = sorted(((raw_score(trees, c), n, p) for c, n, p in cells if c[0] == kind), reverse=True)
         n = pos = 0.0
         for i, (s, cn, cp) in enumerate(ranked):
             n, pos = n + cn, pos + cp
@@ -238,34 +229,58 @@ def _score_column(trees: list, c: Column) -> Column:
     return out
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and spans: arrays of (start, kind, end) sorted; kind indexes KINDS."""
-    scratch = Scratch(docs.sparkSession, "pii")
+def truth(spark: SparkSession, n: int = PLANTED) -> DataFrame:
+    """third, features, n, p: candidates of the planted lines that no test settles, and how many of them are positive."""
+    lines = spark.createDataFrame(planted(n), "i long, text string, start int, end int, good boolean")
+    found = lines.select((F.col("i") % 3).alias("third"), "start", "end", "good", F.explode(F.array(candidates(F.col("text")))).alias("found"))
+    open_ = F.filter("found", lambda c: ~(c["valid"] & (c["kind"] < 4)) & ~_inside_valid(c, F.col("found")))
+    c = found.select("third", "start", "end", "good", F.explode(open_).alias("c"))
+    both = F.least("end", "c.end") - F.greatest("start", "c.start")
+    # most of the planted span, and little else
+    hit = F.col("good") & (both * 2 > F.col("end") - F.col("start")) & (both * 3 > (F.col("c.end") - F.col("c.start")) * 2)
+    return c.select("third", hit.cast("int").alias("hit"), *[F.col(f"c.{f}").alias(f) for f in FEATURES]).groupBy("third", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("p"))
+
+
+def learned(spark: SparkSession, n: int = PLANTED) -> tuple[list, dict[int, float], list[tuple[tuple[int, ...], float, float]]]:
+    """Trees, the kinds' cutoffs, and the cells of the third that saw neither."""
+    thirds: dict[int, list] = {0: [], 1: [], 2: []}
+    for r in truth(spark, n).collect():  # at most 3 x prod(SIZES) cells
+        thirds[r["third"]].append((tuple(r[f] for f in FEATURES), float(r["n"]), float(r["p"])))
+    trees = fit(sorted(thirds[0]))
+    return trees, calibrate(trees, sorted(thirds[1])), sorted(thirds[2])
+
+
+def report(spark: SparkSession, n: int = PLANTED) -> dict[str, tuple[float, float]]:
+    """Precision and recall of the selected candidates of each kind that has a cutoff, on the lines left for it."""
+    trees, cuts, cells = learned(spark, n)
+    out = {}
+    for kind, cut in cuts.items():
+        own = [(raw_score(trees, c) >= cut - 1e-9, n, p) for c, n, p in cells if c[0] == kind]
+        chosen, hits, all_ = sum(n for yes, n, _ in own if yes), sum(p for yes, _, p in own if yes), sum(p for _, _, p in own)
+        out[KINDS[kind]] = (hits / max(chosen, 1), hits / max(all_, 1))
+    return out
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", planted_lines: int = PLANTED) -> DataFrame:
+    """doc_id, base and spans: arrays of (start, kind, end) sorted; kind indexes KINDS. planted_lines bounds the training sample."""
+    trees, cuts, _ = learned(docs.sparkSession, planted_lines)
     clean = F.translate(text_or_empty(text_col), OPEN + CLOSE, OTHER + OTHER)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array(F.struct(let(clean, candidates).alias("c")))).alias("x"))
-    rows = scratch.save(rows.select("doc_id", "copy", F.col("x.c").alias("found")), "candidates")
-    fold = F.pmod("copy", F.lit(2)).cast("int")
-    some = rows.where(F.size("found") > 0).dropDuplicates(["copy"]).select(fold.alias("fold"), "found", F.explode("found").alias("c"))
-    positive = F.when(F.col("c.kind") < 4, F.col("c.valid")).when(F.col("c.kind") == KINDS.index("secret"), F.col("c.key")).otherwise(_inside_valid(F.col("c"), F.col("found")))
-    table = some.select("fold", positive.cast("int").alias("positive"), *[F.col(f"c.{f}").alias(f) for f in FEATURES]).groupBy("fold", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("p"))
-    halves: dict[int, list] = {0: [], 1: []}
-    for r in table.collect():  # at most 2 x prod(SIZES) cells
-        halves[r["fold"]].append((tuple(r[f] for f in FEATURES), float(r["n"]), float(r["p"])))
-    both = [fit(sorted(halves[1 - f])) or fit(_merged(halves[0] + halves[1])) for f in (0, 1)]
-    cuts = calibrate([(both[f], sorted(halves[f])) for f in (0, 1)]) if all(both) else {}
-    added = F.array().cast(CANDIDATES)
-    if cuts:
-        added = F.filter("found", lambda c: ~(c["valid"] & (c["kind"] < 4)) & _over(both, fold, cuts, c) & ~_inside_valid(c, F.col("found")))
+    # generators: what they give is computed once for all its uses
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.struct(let(clean, candidates).alias("found")))).alias("x")).select("doc_id", "x.found")
     slim = lambda a: F.transform(a, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     base = slim(F.filter("found", lambda c: c["valid"] & (c["kind"] < 4)))
-    return rows.select("doc_id", F.sort_array(base).alias("base"), F.sort_array(F.concat(base, slim(added))).alias("spans"))
+    added = F.array().cast(CANDIDATES)
+    if cuts:
+        added = F.filter("found", lambda c: ~(c["valid"] & (c["kind"] < 4)) & _over(trees, cuts, c) & ~_inside_valid(c, F.col("found")))
+    out = rows.select("doc_id", F.explode(F.array(F.struct(F.sort_array(base).alias("base"), F.sort_array(F.concat(base, slim(added))).alias("spans")))).alias("x"))
+    return out.select("doc_id", "x.base", "x.spans")
 
 
-def _over(both: list[list], fold: Column, cuts: dict[int, float], c: Column) -> Column:
+def _over(trees: list, cuts: dict[int, float], c: Column) -> Column:
     cut = F.lit(float("inf"))
     for kind, s in cuts.items():
         cut = F.when(c["kind"] == kind, F.lit(s)).otherwise(cut)
-    return F.when(fold == 0, _score_column(both[0], c)).otherwise(_score_column(both[1], c)) >= cut - F.lit(1e-9)
+    return _score_column(trees, c) >= cut - F.lit(1e-9)
 
 
 def listed(a: Column) -> Column:

@@ -42,7 +42,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.count_kind(F.col("base"), i).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
-    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    added = [pii.count_kind(F.col("spans"), i).cast("long").alias(f"n_{pii.KINDS[i]}") for i in (4, 5)]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
