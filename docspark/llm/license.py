@@ -8,7 +8,8 @@ the edits and gives the span.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters; notices
 are matched on the words joined by single blanks, so punctuation and line breaks between
-words cost nothing.
+words cost nothing. An edit is one code point inserted, left out or replaced, and a match
+begins and ends with whole words.
 
 Defined cases: null text is an empty text and gives no words, no labels and score 0;
 equal rows give equal results; matches of different notices may overlap; further columns
@@ -17,7 +18,9 @@ are ignored; an empty table gives an empty result. Nothing is shuffled.
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +35,7 @@ from docspark.llm.textnum import PLAIN, word_spans
 
 BASE = re.compile(rb"(?<![^ ])(?:(?P<cc>cc +by)|(?P<gpl>general +public +license)|(?P<reserved>all +rights +reserved))(?![^ ])")
 BASE_LABEL = {"cc": "cc-by", "gpl": "gpl", "reserved": "reserved"}
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 HINTS = (b"cc ", b"public", b"rights")
 NOTICES = (
     ("mit", "released under the mit license"),
@@ -69,7 +73,7 @@ class Scanner:
             edits = max(1, len(notice) // CHARS_PER_EDIT)
             for offset, piece in pieces(notice, edits):
                 seeds.setdefault(piece, []).append((n, offset))
-            self.notices.append((label, len(notice), edits, regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}")))
+            self.notices.append((label, len(notice), edits, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}(?![^ ])")))
         self.automaton = ahocorasick.Automaton()
         for piece, at in seeds.items():
             self.automaton.add_word(piece, (len(piece), at))
@@ -90,14 +94,15 @@ class Scanner:
         out = []
         for n, spans in windows.items():
             label, length, edits, pattern = self.notices[n]
-            for low, high in _merged(spans):
+            for low, high in _merged([whole_words(line, *w) for w in spans]):
                 # the best match comes first, so what lies to both sides of it is searched again
-                parts = [(max(low, 0), high)]
+                parts = [(low, high)]
                 while parts:
                     low, high = parts.pop()
-                    if m := pattern.search(line[low:high]):
+                    m = pattern.search(line[low:high])
+                    if m and m.end() > m.start():
                         out.append((label, low + m.start(), low + m.end(), sum(m.fuzzy_counts), length))
-                        parts += [(a, b) for a, b in ((low, low + m.start()), (low + m.end(), min(high, len(line)))) if b - a >= length - edits]
+                        parts += [(a, b) for a, b in ((low, low + m.start()), (low + m.end(), high)) if b - a >= length - edits]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
     def scan(self, text: str) -> tuple:
@@ -108,24 +113,27 @@ class Scanner:
         base_labels = {BASE_LABEL[g] for g, _ in base}
         spans, score = [], 1.0 if base else 0.0
         if len(starts):
-            found = self.fuzzy(b" ".join(plain.split()).decode("latin-1"))
+            found = self.fuzzy(b" ".join(plain.split()).decode())
             if found:
-                # where each word begins in the joined line
-                lengths = ends - starts
-                at = np.concatenate([[0], np.cumsum(lengths + 1)])
-                raw = text.encode()
+                # where each word stands in the text, and where it begins in the joined line
+                places = [m.span() for m in WORD.finditer(text)]
+                at = [0, *itertools.accumulate(b - a + 1 for a, b in places)]
                 for label, a, b, edits, length in found:
-                    i = max(int(np.searchsorted(at, a, "right")) - 1, 0)
-                    j = max(int(np.searchsorted(at, b - 1, "right")) - 1, i)
-                    low = int(starts[i] + min(a - at[i], lengths[i]))
-                    high = int(min(starts[j] + b - at[j], ends[j]))
-                    spans.append((label, len(raw[:low].decode(errors="ignore")), len(raw[:high].decode(errors="ignore")), edits))
+                    i, j = bisect_right(at, a) - 1, bisect_right(at, b - 1) - 1
+                    spans.append((label, places[i][0] + a - at[i], min(places[j][0] + b - at[j], places[j][1]), edits))
                     score = max(score, 1.0 - edits / length)
         labels = base_labels | {s[0] for s in spans}
         return len(starts), len(base), min(first, default=None), max(first, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
 
 
-def _merged(spans: list[list[int]]) -> list[list[int]]:
+def whole_words(line: str, low: int, high: int) -> tuple[int, int]:
+    """The window widened to whole words."""
+    low = line.rfind(" ", 0, max(low, 0)) + 1 if low > 0 else 0
+    end = line.find(" ", min(high, len(line)))
+    return low, len(line) if end < 0 else end
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for low, high in sorted(spans):
         if out and low <= out[-1][1]:
