@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.sources.scratch import folder
+
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-OWN_DIR = "/tmp/checkpoints"
 
 
 class Scratch:
     """Tables written under spark.checkpoint.dir: they cut lineage and survive lost executors.
 
-    The folder is local only where the session names none, as in tests.
+    Without that setting only a session in one process may use a folder of its machine.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or OWN_DIR
-        self.root = f"{root.rstrip('/')}/docspark-{name}-{uuid.uuid4().hex}"
+        self.root = folder(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(_nullable(df.schema)).parquet(path)
 
+    def close(self) -> None:
+        """Deletes the whole folder, once no result is read from it any more."""
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
         jvm = self.spark._jvm
@@ -74,13 +78,10 @@ def ranked(scratch: Scratch, df: DataFrame, order: list[Column], name: str, out:
     sorted_ = df.orderBy(*order).withColumn(part, F.shiftright(ids, 33).cast("int")).withColumn(pos, ids.bitwiseAND(F.lit((1 << 33) - 1)))
     saved = scratch.save(sorted_, name)
     counts = sorted((r[0], r[1]) for r in saved.groupBy(part).count().collect())
-    firsts, total = [], 0
-    for p, n in counts:
-        firsts += [F.lit(p), F.lit(total).cast("long")]
-        total += n
-    if not firsts:
-        return saved.withColumn(out, F.lit(0).cast("long")).drop(part, pos)
-    return saved.withColumn(out, F.element_at(F.create_map(*firsts), F.col(part)) + F.col(pos)).drop(part, pos)
+    firsts = list(zip([p for p, _ in counts], itertools.accumulate((n for _, n in counts), initial=0), strict=False))
+    side = saved.sparkSession.createDataFrame(firsts, "__p int, __first long")  # one row per partition
+    joined = saved.join(F.broadcast(side), F.col(part) == F.col("__p"))
+    return joined.withColumn(out, F.col("__first") + F.col(pos)).drop(part, pos, "__p", "__first")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

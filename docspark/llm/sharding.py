@@ -1,21 +1,25 @@
 """Sharding by minimax contiguous partition.
 
-Equal texts are one atomic group. Groups are ordered by a hash of their text and
-gathered in 65,536 cells by the top bits of that hash, so a cell is a run of whole
-groups and the ordered list of atomic sizes has a fixed length at any input size.
-Cells larger than an even share come first and each fill a shard of their own; over
-the rest, in hash order, the smallest feasible capacity is found by binary search
-with a greedy check, and the cuts are made under it, as near to even shares as it allows.
+Equal texts are one atomic group; groups are ordered by a hash of their text. Groups above
+an even share come first and fill a shard each. Over the rest the smallest feasible
+capacity is found by binary search with a greedy check, and the cuts are made under it, as
+near to even shares as it allows.
+
+The driver never holds all groups. It begins with 2 ** CELL_BITS runs of groups (cells of the
+hash) and splits those in which a cut of a best partition may fall, until they are single
+groups or the capacity is known to be least. Each round is one aggregation of the rows in
+the cells that are split; the number of runs stays below MOST_RUNS.
 
 Defined cases: a null text has no bytes and belongs with the empty text; a null
 doc_id is kept and sorts first; equal rows get slots of their own; an empty table
-gives an empty result; further columns are ignored. A table whose cells are fewer
-than the shards leaves the last shards empty.
+gives an empty result; further columns are ignored. A table whose groups are fewer
+than the shards leaves the last shards empty. Texts with equal 64-bit hashes count as equal.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import Scratch, ranked, text_or_empty
 
-CELL_BITS = 16
+CELL_BITS, MOST_RUNS = 16, 1 << 17
 
 
 def greedy_cuts(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -74,19 +78,73 @@ def even_cuts(sizes: list[int], capacity: int, shards: int) -> list[int]:
     return [c for c in cuts if c < len(sizes)]
 
 
-def plan(cells: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int], int]:
-    """Shard of each oversized cell, then the first cells of the later shards, and the first shard they use."""
-    by_size, alone = sorted(cells, key=lambda c: (-c[1], c[0])), {}
-    rest = sum(n for _, n in cells)
-    for cell, n in by_size:
+@dataclass(frozen=True)
+class Run:
+    """Groups whose hashes agree above shift, in order: their least and largest hash and the sum of their sizes."""
+
+    cell: int
+    shift: int
+    first: int
+    last: int
+    size: int
+
+    @property
+    def single(self) -> bool:
+        return self.first == self.last
+
+
+def doubtful(runs: list[Run], capacity: int, shards: int) -> list[Run]:
+    """Runs of several groups in which a partition as good as capacity or better may cut."""
+    prefix = [0, *accumulate(r.size for r in runs)]
+    out = []
+    for k in range(1, shards):
+        low, high = prefix[-1] - (shards - k) * capacity, k * capacity
+        i = max(bisect_right(prefix, low) - 1, out[-1] + 1 if out else 0)
+        while i < len(runs) and prefix[i] < high:
+            out.append(i)
+            i += 1
+    return [runs[i] for i in out if not runs[i].single]
+
+
+def _cells(rows: DataFrame, shift: int) -> list[Run]:
+    found = rows.groupBy(F.shiftright("h", shift).alias("c")).agg(F.min("h"), F.max("h"), F.sum("size")).collect()
+    return [Run(c, shift, low, high, size) for c, low, high, size in found]
+
+
+def plan(rows: DataFrame, shards: int) -> tuple[dict[int, int], list[int], int]:
+    """Shard of each group that stands alone (by hash), the first hashes of the later shards, and the first shard they use."""
+    runs = sorted(_cells(rows, 64 - CELL_BITS), key=lambda r: r.first)  # at most 2 ** CELL_BITS
+    total = rest = sum(r.size for r in runs)
+    full = [r.cell for r in runs if r.size * shards > total]
+    heavy: list[tuple[int, int]] = []
+    if full:  # at most shards cells, and as many groups
+        groups = rows.where(F.shiftright("h", 64 - CELL_BITS).isin(full)).groupBy("h").agg(F.sum("size").alias("n"))
+        heavy = [(n, h) for h, n in groups.where(F.col("n") * shards > total).collect()]
+    alone: dict[int, int] = {}
+    for n, h in sorted(heavy, key=lambda x: (-x[0], x[1])):
         left = shards - len(alone)
         if left <= 1 or n * left <= rest or n == rest:
             break
-        alone[cell] = len(alone)
+        alone[h] = len(alone)
         rest -= n
-    others = sorted(c for c in cells if c[0] not in alone)
-    _, cuts = minimax([n for _, n in others], shards - len(alone))
-    return alone, [others[i][0] for i in cuts], len(alone)
+    rows = rows.where(~F.col("h").isin(list(alone))) if alone else rows
+    if alone:
+        touched = sorted({h >> (64 - CELL_BITS) for h in alone})
+        runs = [r for r in runs if r.cell not in touched] + _cells(rows.where(F.shiftright("h", 64 - CELL_BITS).isin(touched)), 64 - CELL_BITS)
+    left = shards - len(alone)
+    while True:
+        runs.sort(key=lambda r: r.first)
+        capacity, cuts = minimax([r.size for r in runs], left)
+        least = max([-(-rest // left), *(r.size for r in runs if r.single)])
+        split = doubtful(runs, capacity, left) if capacity > least else []
+        bits = min(8, (MOST_RUNS - len(runs)).bit_length() - len(split).bit_length() - 1) if split else 0
+        if bits < 1:
+            return alone, [runs[i].first for i in cuts], len(alone)
+        chosen = set(split)
+        runs = [r for r in runs if r not in chosen]
+        for shift in sorted({r.shift for r in split}):
+            inside = rows.where(F.shiftright("h", shift).isin([r.cell for r in split if r.shift == shift]))
+            runs += _cells(inside, max(0, shift - bits))
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,10 +160,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         ),
         "sizes",
     )
-    cell = F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int")
-    cells = [(r[0], r[1]) for r in rows.groupBy(cell.alias("cell")).agg(F.sum("size")).collect()]  # at most 2**CELL_BITS
-    alone, firsts, base = plan(cells, shards)
-    placed = ranked(scratch, rows.withColumn("shard", _shard_of(cell, alone, firsts, base)), [F.col("shard"), F.col("h"), F.col("doc_id"), F.col("text_crc32")], "placed")
+    alone, firsts, base = plan(rows.select("h", "size"), shards)
+    order = [F.col("shard"), F.col("h"), F.col("doc_id"), F.col("text_crc32")]
+    placed = ranked(scratch, rows.withColumn("shard", _shard_of(alone, firsts, base)), order, "placed")
     starts: list[Column] = []
     for r in placed.groupBy("shard").agg(F.min("rank")).collect():  # one row per shard
         starts += [F.lit(r[0]), F.lit(r[1])]
@@ -114,10 +171,10 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     return placed.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))
 
 
-def _shard_of(cell: Column, alone: dict[int, int], firsts: list[int], base: int) -> Column:
+def _shard_of(alone: dict[int, int], firsts: list[int], base: int) -> Column:
     out = F.lit(base)
     for first in firsts:
-        out = out + (cell >= F.lit(first)).cast("int")
+        out = out + (F.col("h") >= F.lit(first)).cast("int")
     for own, k in alone.items():
-        out = F.when(cell == F.lit(own), F.lit(k)).otherwise(out)
+        out = F.when(F.col("h") == F.lit(own), F.lit(k)).otherwise(out)
     return out.cast("int")

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline
-from docspark.llm import chat, components, ctw, license, linededup, minhash, mixing, pii, quality, queries, sharding, tiling
+from docspark.llm import chat, components, ctw, license, linededup, minhash, mixing, pii, pii_truth, quality, queries, sharding, tiling
 from docspark.llm.common import Scratch, n_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("h", "size", "drops", "line", "rep", "digest", "kept", "n", "shard", "found", "component")
 R = random.Random(11)
+DATA = Path("/root/testdata/sf0.001")
 VOCAB = [f"w{i}é" if i % 9 == 0 else f"word{i}" for i in range(400)]
 
 
@@ -208,6 +209,32 @@ def test_license_edits():
     assert len(license.pieces("x" * length, edits)) == edits + 1
     got = s.scan("Ünder: RELEASED under the\n MIT-License!")
     assert got[7] == [("mit", 7, 38, 0)]
+    for text, labels in (("all rights réserved", "reserved"), ("small rights reserved", ""), ("overall rights reserved", ""), ("all rights reserveds", "reserved"), ("é all rights ręserved 漢字", "reserved")):
+        assert s.scan(text)[5] == labels, text
+    text = "é漢 (All RIGHTS, résErved) é"
+    assert s.scan(text)[7] == [("reserved", 4, 24, 1)] and text[4:24] == "All RIGHTS, résErved"
+
+
+def test_license_equals_exhaustive_search():
+    """Labels and score against the regex library run over whole texts, notices edited within and beyond their allowance."""
+    import regex
+
+    scanner, r = license.Scanner(), random.Random(12)
+    plain = [(label, notice, max(1, len(notice) // license.CHARS_PER_EDIT)) for label, notice in license.NOTICES]
+    patterns = [(label, len(n), regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={k}}}(?![^ ])")) for label, n, k in plain]
+    for _ in range(150):
+        label, notice, k = r.choice(plain)
+        x = list(notice)
+        for _ in range(r.randrange(k + 3)):
+            i = r.randrange(len(x))
+            x[i : i + r.randrange(2)] = r.choice(["", "e", "é", "漢", "x", " "])
+        text = f"{prose(r.randrange(6), str(r.random()))} {''.join(x)} {prose(r.randrange(6), str(r.random()))}".replace("\n", r.choice("\n,-"))
+        line = " ".join(license.WORD.findall(text.lower()))
+        found = {(name, n): m for name, n, p in patterns if (m := p.search(line))}
+        base = scanner.scan(text)
+        assert set(filter(None, base[5].split(","))) - set(base[4].split(",")) == {name for name, _ in found} - set(base[4].split(",")), text
+        want = max([1.0 if base[1] else 0.0, *(1 - sum(m.fuzzy_counts) / n for (_, n), m in found.items())])
+        assert base[6] == pytest.approx(want), text
 
 
 def test_license_repeats_back_to_back():
@@ -449,6 +476,34 @@ def test_pii(docs, spark, empty):
     assert pii.spans(empty).count() == 0
 
 
+def test_pii_model_on_lines_it_has_not_seen(spark):
+    """Precision and recall on the third of the planted lines that neither trained the trees nor set the cutoffs."""
+    told = pii.report(spark)
+    assert {"secret", "number"} <= set(told)
+    for kind in ("secret", "number"):
+        assert min(told[kind]) >= 0.9, told
+    trees, cuts, cells = pii.learned(spark)
+    chosen = [(n, p) for c, n, p in cells if c[0] in cuts and pii.raw_score(trees, c) >= cuts[c[0]] - 1e-9]
+    assert sum(p for _, p in chosen) >= 0.9 * sum(n for n, _ in chosen)
+    lines = pii_truth.planted(300, seed=99)
+    assert lines == pii_truth.planted(300, seed=99) and 0.3 < sum(x[4] for x in lines) / 300 < 0.7
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")
+def test_pii_query_on_the_tables(spark):
+    got = table(queries.op7_pii(spark, str(DATA)))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        base, r = plain_pii(t), got[i]
+        assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(x[1] == k for x in base) for k in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base} <= set(spans) and r["n_spans"] == len(spans)
+        planted = [m.span(1) for m in re.finditer(r'token = "([0-9a-fA-F]{40})"', t)]
+        assert {f"secret:{a}:{b}" for a, b in planted} <= set(spans)
+
+
 def test_pii_random_strings(spark):
     r = random.Random(9)
     texts = ["".join(r.choice("1234567890123..@@--  +(ab_x\n") for _ in range(r.randrange(60))) for _ in range(300)] + ["9" * 30_000, "1 " * 20_000, "a." * 20_000 + "@b" + ".c" * 20_000, "+1" + "(" * 30_000]
@@ -527,6 +582,26 @@ def test_sharding(docs, spark, empty):
     assert len(rest) == 7 and max(rest) < 1.1 * min(rest)
 
 
+@pytest.mark.parametrize("cell_bits", [2, 16])
+def test_shard_capacity_is_least_over_groups(spark, monkeypatch, cell_bits):
+    """The largest shard against the plain minimax over whole groups in hash order, however coarse the first cells."""
+    monkeypatch.setattr(sharding, "CELL_BITS", cell_bits)
+    r = random.Random(cell_bits)
+    texts = [f"{'x' * r.randrange(40)} {r.randrange(60)}" for _ in range(300)] + [None, None, ""]
+    df = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hashes = {x["t"]: x["h"] for x in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    sizes = collections.Counter()
+    for t in texts:
+        sizes[hashes[t or ""]] += len((t or "").encode()) + 1
+    ordered = [n for _, n in sorted(sizes.items())]
+    got = sharding.shard(df, 6).collect()
+    assert len(got) == len(texts) and sum(x["doc_id"] is None for x in got) == 1
+    by_shard = collections.Counter()
+    for x in got:
+        by_shard[x["shard"]] += x["size"]
+    assert max(by_shard.values()) == sharding.minimax(ordered, 6)[0]
+
+
 # 9
 
 
@@ -539,8 +614,9 @@ def test_minhash(docs, percent):
 
 
 def test_minhash_families_in_blocks(spark, monkeypatch, empty):
-    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 7)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 700)
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 7)
+    monkeypatch.setattr(components, "HUB_DEGREE", 3)
     texts = [edited(BASE, k % 4, k) for k in range(60)] + [BASE] * 20 + [None, "", "tiny text"] * 2
     got = table(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 85))
     s = {i: {tuple(words(t)[j : j + 5]) for j in range(max(1, len(words(t)) - 4))} if words(t) else set() for i, t in enumerate(texts)}
@@ -554,7 +630,39 @@ def test_minhash_families_in_blocks(spark, monkeypatch, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1, 3, 10, 1000])
+def test_spanning_links_lose_no_component(spark, block, monkeypatch):
+    """Groups of a random relation, in blocks so small that heads and leftovers must meet."""
+    r = random.Random(block)
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", block)
+    members = [(g, 100 * g + i, 1, r.randrange(12)) for g in range(5) for i in range(4 + 9 * g)]
+    near = lambda a, b: (a + b) % 5 == 0 or a == b
+    want = {}
+    for g in range(5):
+        own = {rep: x for h, rep, _, x in members if h == g}
+        p = {i: i for i in own}
+        for a in own:
+            for b in own:
+                if near(own[a], own[b]):
+                    x, y = p[a], p[b]
+                    p = {i: min(x, y) if v in (x, y) else v for i, v in p.items()}
+        want |= p
+
+    def relation(rows):
+        import numpy as np
+
+        x = np.array([z for z, in rows])
+        return lambda at, left: ((x[left] + x[at]) % 5 == 0) | (x[left] == x[at])
+
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame(members, "g long, rep long, weight int, x int").repartition(3)
+    got = {i: i for i in want} | {x["node"]: x["component"] for x in components.components(scratch, minhash.spanning_links(scratch, "s", df, ["x"], block, relation), "c").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("hub", [1, 1000])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(components, "HUB_DEGREE", hub)
     r = random.Random(8)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     p = {n: n for e in edges if e[0] != e[1] for n in e}
