@@ -414,8 +414,10 @@ def test_tiling_in_blocks(docs, spark, monkeypatch):
     plain = lambda: collections.Counter((r["doc_id"], tuple(r["items"]), r["coverage"], r["best_item"]) for r in tiling.contamination(more, bench).collect())
     one = plain()
     assert one[(None, (0, 5, 9), 1.0, 0)] == 1 and one[(7, (1, 1), 1.0, 1)] == 1 and one.total() == len(rows()) + 6
-    monkeypatch.setattr(tiling, "BLOCK_ITEMS", 2)
-    assert plain() == one
+    for name, value in (("BLOCK_BYTES", 300), ("EXPAND", 1), ("MANY_PAIRS", 0)):
+        monkeypatch.setattr(tiling, name, value)
+        assert plain() == one, name
+    assert {r["doc_id"] for r in tiling.clean(docs, bench).collect()} == {r["doc_id"] for r in tiling.contamination(docs, bench).where("size(items) = 0").collect()}
 
 
 def test_tiling_null_ids_and_short_items(spark):
@@ -446,11 +448,27 @@ def plain_tiles(doc, item, k):
 
 
 def test_greedy_tiles():
+    import numpy as np
+
     r = random.Random(4)
-    for _ in range(150):
-        doc, item = [r.randrange(3) for _ in range(r.randrange(25))], [r.randrange(3) for _ in range(r.randrange(12))]
+    for i in range(200):
+        kinds = r.choice([1, 2, 3])
+        doc, item = [r.randrange(kinds) for _ in range(r.randrange(25))], [r.randrange(kinds) for _ in range(r.randrange(12))]
         pairs = [(p, q) for p in range(len(doc) - 2) for q in range(len(item) - 2) if doc[p : p + 3] == item[q : q + 3]]
-        assert tiling.tile(pairs, 3) == plain_tiles(doc, item, 3)
+        want = plain_tiles(doc, item, 3)
+        if pairs:
+            assert tiling.tile(*np.array(pairs).T, 3) == want
+            hashed = [np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7) for x in (doc, item)]
+            assert tiling.tile_by_length(*hashed, 3) == want
+        else:
+            assert want == 0
+
+
+def test_tiling_repetitive_texts(spark):
+    bench = spark.createDataFrame([(0, "same " * 900 + "end")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "same " * 30_000), (1, "same " * 450 + "other"), (2, "same " * 449)], "doc_id long, text string")
+    got = table(tiling.contamination(docs, bench))
+    assert [round(got[i]["coverage"] * 901) for i in range(3)] == [900, 450, 449] and [got[i]["items"] for i in range(3)] == [[0], [], []]
 
 
 # 7
