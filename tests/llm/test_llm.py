@@ -127,13 +127,34 @@ def test_line_dedup(docs, batches):
         assert got[i]["drops"] == -7
 
 
-def test_line_runs_are_levelled(spark):
-    index = linededup.LineIndex(Scratch(spark, "t"), 2)
-    for b in range(5):
-        index.add(spark.range(b * 10, b * 10 + 15).selectExpr("id AS h1", "id AS h2", "cast(%d AS long) AS owner" % b))
+def test_line_runs_are_levelled(spark, tmp_path):
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")}
+    root = str(tmp_path / "index")
+    for batches in (range(3), range(3, 5)):  # closed and opened again
+        with linededup.LineIndex(spark, root, 2) as index:
+            for b in batches:
+                index.add(spark.range(b * 10, b * 10 + 15).selectExpr("id AS h1", "id AS h2", "cast(%d AS long) AS owner" % b))
+            assert len(tables()) == len(index.runs())
+        assert not tables()
     assert [len(x) for x in index.levels] == [1, 0, 1]
+    assert sorted(p.name for p in Path(root).iterdir() if p.name.startswith("run_")) == sorted(index.runs())
     got = {r["h1"]: r["owner"] for r in index.owners().collect()}
     assert got == {h: max(0, -(-(h - 14) // 10)) for h in range(55)}
+    spark.range(5).selectExpr("id AS h1", "id AS h2", "id AS owner").write.bucketBy(3, "h1", "h2").sortBy("h1", "h2").saveAsTable("line_run_x")
+    spark.range(9, 12).selectExpr("id AS h1", "id AS h2", "id AS owner").write.bucketBy(3, "h1", "h2").sortBy("h1", "h2").saveAsTable("line_run_y")
+    merged = spark.table("line_run_x").join(spark.table("line_run_y").withColumnRenamed("owner", "other").hint("merge"), ["h1", "h2"], "full_outer")
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE line_run_x"), spark.sql("DROP TABLE line_run_y")
+
+
+def test_line_index_takes_tomorrows_batch(docs, spark, tmp_path):
+    """Two batches through one kept index give what one pass over both gives."""
+    plain = docs.select("doc_id", "text")
+    whole = table(linededup.dedup_lines(plain))
+    low = plain.where("doc_id < 14")
+    high = plain.where("doc_id >= 14")
+    got = table(linededup.dedup_lines(low, index=str(tmp_path / "i"))) | table(linededup.dedup_lines(high, index=str(tmp_path / "i")))
+    assert got == whole
 
 
 def test_line_dedup_null_ids_and_empty(spark, empty):
