@@ -75,6 +75,41 @@ QUERIES = {
 }
 
 
+# the columns of the operators that SQL can tell, as queries of their own
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_ctw_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's shard holds all equal texts, and how far its slots are from gapless."""
+    out = op8_shard(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    groups = docs.join(out, "doc_id").groupBy("h").agg(F.count_distinct("shard").alias("shards"))
+    slots = out.groupBy(F.col("shard").alias("__s")).agg((F.max("slot") + 1 - F.count_distinct("slot")).alias("gaps"))
+    return out.join(docs, "doc_id").join(groups, "h").join(slots, F.col("shard") == F.col("__s")).select("doc_id", "size", "law", "shards", "gaps")
+
+
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality_rules(spark, sf_dir).drop("kept")
+
+
+QUERIES |= {"mix_targets": mix_targets, "license_base": license_base, "unigram_base": unigram_base, "pii_base": pii_base, "shard_groups": shard_groups, "quality_figures": quality_figures}
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,4 +152,45 @@ b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r(doc, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.doc),
 m AS (SELECT doc, min(root) AS root FROM r GROUP BY doc)
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, m.root AS component_id, s.doc_id = m.root AS kept FROM s JOIN m ON m.doc = s.doc_id""",
+    "mix_targets": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, 2.0 * n AS cap, (SELECT 1.5 * sum(n) FROM s) AS total,
+        coalesce(sum(2.0 * n) OVER (ORDER BY 2.0 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+        sum(w) OVER (ORDER BY 2.0 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s),
+v AS (SELECT arg_min((total - capped) / free, capped) FILTER (WHERE (total - capped) / free <= cap / w) AS level FROM r)
+SELECT doc_id, size, n AS source_size, round(least(w * level, cap), 3) AS target FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, v""",
+    "license_base": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d),
+b AS (SELECT doc_id, i, CASE WHEN ws[i+1] = 'cc' AND ws[i+2] = 'by' THEN 'cc-by' WHEN ws[i+1] = 'general' AND ws[i+2] = 'public' AND ws[i+3] = 'license' THEN 'gpl'
+        WHEN ws[i+1] = 'all' AND ws[i+2] = 'rights' AND ws[i+3] = 'reserved' THEN 'reserved' END AS label FROM p),
+g AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "unigram_base": rf"""
+WITH d AS (SELECT doc_id, list_append(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+'), '') AS ws,
+        xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+          lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 5 = 1 AS held_out FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out""",
+    "pii_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+        list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+        list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM d)
+SELECT doc_id, len(email)::BIGINT AS n_email, len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: try_cast(y AS HUGEINT) IS NULL OR y::HUGEINT > 255)) = 0))::BIGINT AS n_ip,
+       len(list_filter(card, lambda x: len(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(len(x)), lambda i: CASE WHEN i % 2 = 0 THEN x[-(i + 1)]::INT ELSE 2 * x[-(i + 1)]::INT - CASE WHEN x[-(i + 1)]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+       len(list_filter(phone, lambda x: x BETWEEN 9 AND 15))::BIGINT AS n_phone FROM f""",
+    "shard_groups": "SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, 'bytes' AS law, 1::BIGINT AS shards, 0::BIGINT AS gaps FROM documents",
+    "quality_figures": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+q AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM q, (VALUES (0), (1), (2)) o(j) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m""",
 }
