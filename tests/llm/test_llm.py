@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
@@ -200,6 +201,31 @@ def test_mixing_comes_near_targets(spark):
     assert all(abs(r["taken"] - r["target"]) < 0.02 * r["target"] for r in sums)
 
 
+def spark_hash(*values):
+    """xxhash64 of longs (int), ints (one-tuples) and strings, chained as Spark does."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        b = v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
+        h = xxhash.xxh64_intdigest(b, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mixing_takes_what_the_coins_say(spark):
+    """Copies of every row, by the coins written out: floor of the rate and one more below its fraction, with the seed that comes nearest."""
+    r = random.Random(2)
+    data = [(i, " ".join(["w"] * r.randrange(30)), r.choice("abc")) for i in range(200)]
+    got = table(mixing.copies(spark.createDataFrame(data, "doc_id long, text string, source string")))
+    for source in "abc":
+        own = [(i, t, len(t.split())) for i, t, s in data if s == source]
+        size, target = sum(n for *_, n in own), next(x["target"] for x in got.values() if x["source"] == source)
+        whole, part = divmod(target / size, 1)
+        toss = lambda s, i, t: ((spark_hash((s,), spark_hash(i, t)) % (1 << 64)) >> 11) / (1 << 53) < part  # noqa: B023, E731
+        miss = [(abs(whole * size + sum(n for i, t, n in own if toss(s, i, t)) - target), s) for s in range(mixing.SEEDS)]
+        assert {i: got[i]["n_copies"] for i, *_ in own} == {i: whole + toss(min(miss)[1], i, t) for i, t, _ in own}
+
+
 # 3
 
 
@@ -238,8 +264,6 @@ def test_license_edits():
 
 def test_license_equals_exhaustive_search():
     """Labels and score against the regex library run over whole texts, notices edited within and beyond their allowance."""
-    import regex
-
     scanner, r = license.Scanner(), random.Random(12)
     plain = [(label, notice, max(1, len(notice) // license.CHARS_PER_EDIT)) for label, notice in license.NOTICES]
     patterns = [(label, len(n), regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={k}}}(?![^ ])")) for label, n, k in plain]
@@ -762,6 +786,64 @@ def test_learned_cutoff_rejects(spark):
     assert not kept & {b[0] for b in bad} and len(kept) == len(good)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")
+def test_learned_cutoffs_on_the_tables(spark):
+    """On the driver's tables a learned cutoff rejects bad documents that pass the fixed rules, and good ones hardly ever."""
+    d = str(DATA.parent / "sf0.1")
+    out = queries.op10_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed")
+    n = {(x["quality"], x["kept"]): x["count"] for x in out.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] >= 200 and n[0, False] > 0.9 * (n[0, False] + n.get((0, True), 0))
+    assert n.get((1, False), 0) <= 0.02 * (n[1, True] + n.get((1, False), 0))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables here")
+def test_quality_query_equals_plain_version(spark):
+    """kept of the query against the whole procedure written plainly: deal, order, walk, stop."""
+    d = str(DATA.parent / "sf0.01")
+    docs = {r["doc_id"]: (r["text"], r["lang"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect()]
+    got = table(queries.op10_quality_rules(spark, d))
+    share, base = {}, {}
+    for i, (t, _) in docs.items():
+        n, chars, symbols, dups, repeats = plain_figures(t)
+        upper, letters = len(regex.findall(r"\p{Lu}", t or "")), len(regex.findall(r"\p{L}", t or ""))
+        lines = sum(1 for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        share[i] = dict(zip(quality.RULES, (symbols / max(n, 1), upper / max(letters, 1), repeats / max(n, 1), dups / max(lines, 1), chars / max(n, 1)), strict=True))
+        base[i] = n < 50 or 100 * repeats > 50 * n
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_dup_lines"], got[i]["n_repeat_words"], got[i]["base_failed"]) == (n, chars, symbols, dups, repeats, base[i])
+    good = [i for i, q in labels if q == 1 and i in docs and not base[i]]
+    orders = [i for i in good if spark_hash(i, "order") % quality.ORDERING == 0]
+    held = [i for i in good if i not in set(orders)]
+    risk, delta = 0.02, 0.05
+    by = collections.Counter(docs[i][1] for i in held)
+    own = set()
+    for n in sorted(set(by.values()), reverse=True):
+        more = own | {s for s in by if by[s] == n}
+        if n * math.log1p(-risk) > math.log(delta / (len(more) + (len(by) > len(more)))):
+            break
+        own = more
+    tests = max(1, len(own) + (len(by) > len(own)))
+
+    def chosen(stratum):
+        mine = lambda ids: [i for i in ids if (docs[i][1] if docs[i][1] in own else None) == stratum]
+        steps = [(sum(share[i][r] > c for i in mine(orders)), k, quality.RULES.index(r), r, c) for r in quality.RULES for k, c in enumerate(quality.GRID[r])]
+        cut, test = {}, mine(held)
+        for *_, r, c in sorted(steps):
+            trial = cut | {r: c}
+            lost = sum(any(share[i][q] > x for q, x in trial.items()) for i in test)
+            tail = sum(math.comb(len(test), j) * risk**j * (1 - risk) ** (len(test) - j) for j in range(lost + 1))
+            if tail > delta / tests:
+                break
+            cut = trial
+        return cut
+
+    cuts = {s: chosen(s) for s in [*own, None]}
+    for i in docs:
+        cut = cuts[docs[i][1] if docs[i][1] in own else None]
+        assert got[i]["kept"] == (not base[i] and not any(share[i][r] > c for r, c in cut.items())), (i, share[i], cut)
+    assert any(cuts.values())
+
+
 def test_cutoffs_from_few_labels(spark):
     strata = ["en"] * 400 + ["fr"] * 130 + ["de"] * 130 + [None] * 130
     good = [(i, prose(60, f"c{i}"), s) for i, s in enumerate(strata)]
@@ -809,5 +891,19 @@ def test_pipeline(docs, labels, spark, tmp_path):
     assert {r["shard"] for r in out} <= set(range(16)) and [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontaminate", "mix_sources", "shard"]
 
 
+def test_pipeline_of_nothing_and_of_null_ids(spark, tmp_path):
+    def run(rows_, name):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows_, DOCS).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        return corpus_pipeline.run(spark, d).collect()
+
+    assert run([], "nothing") == []
+    some = [(None, prose(60, "n1"), None, None, 1), (None, prose(60, "n2"), "en", "a", 1), (3, prose(60, "n3"), None, "a", None), (3, prose(60, "n3"), None, "a", None), (4, None, "en", None, None)]
+    out = run(some, "some")
+    assert {r["doc_id"] for r in out} <= {None, 3} and all(0 <= r["shard"] < 16 for r in out)
+
+
 def test_word_count(spark):
     assert spark.createDataFrame([("a\x0b\x0cb\xa0c  d",)], "t string").select(n_words(F.col("t"))).first()[0] == 3
