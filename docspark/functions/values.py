@@ -245,6 +245,19 @@ def compare_values(a: Value, op: str, b: Value) -> Column:
     return _true(_ordered(a.col, op, b.col)) if alike and not isinstance(a.kind, T.BooleanType) else F.lit(False)
 
 
+def java_regex(pattern: str) -> str:
+    """The pattern, if the engine that will run it takes it."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None and hasattr(spark, "_jvm"):
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as e:
+            raise QueryError("invalid_regex", f"invalid regex: {pattern!r}") from e
+    return pattern
+
+
 def _plain(c: tuple, binding) -> Value | None:
     """The value a leaf tests, where it is a typed scalar and the leaf is NULL only if the value is."""
     if c[0] not in ("path", "compare", "in", "prefix", "regex") or any(isinstance(x, Var) for x in c[2:]):
@@ -291,7 +304,7 @@ def condition(c: tuple, binding, variables: dict[str, list] | None = None, stric
     text = text_of(v)
     if text is None:
         return F.lit(False)
-    return text.rlike(c[2]) if kind == "regex" else text.startswith(c[2])
+    return text.rlike(java_regex(c[2])) if kind == "regex" else text.startswith(c[2])
 
 
 def all_of(cs: list[tuple], binding, variables: dict[str, list] | None = None, strict_lists: bool = False) -> Column:

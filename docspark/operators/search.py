@@ -226,10 +226,16 @@ class VectorIndex:
     def __init__(self, store: DataFrame, id_col: str = "id", vector_col: str = "vector", metric: str = "cosine"):
         self.store, self.id_col, self.vector_col, self.metric = store, id_col, vector_col, metric
 
-    def search(self, vector: list[float], k: int = 5, where: Column | None = None) -> DataFrame:
-        """Best k first; where, a metadata filter, is applied after the cut, so it can leave fewer than k."""
+    def search(self, vector: list[float], k: int = 5, where: Column | None = None, text_col: str | None = None, include_text: bool = True, include_metadata: bool = True) -> DataFrame:
+        """Best k first; where, a metadata filter, is applied after the cut, so it can leave fewer than k.
+
+        Without include_metadata only id, score and the text remain; without include_text text_col goes.
+        """
         best = vector_scores(self.store, vector, self.id_col, self.vector_col, self.metric).orderBy(F.desc("score"), "id").limit(k)
-        return best if where is None else best.where(where)
+        best = best if where is None else best.where(where)
+        if not include_metadata:
+            best = best.select("id", *([text_col] if text_col else []), "score")
+        return best.drop(text_col) if text_col and not include_text else best
 
     def get(self, id_: object) -> DataFrame:
         return self.store.where(F.col(self.id_col) == id_)
@@ -310,12 +316,42 @@ def rerank(hits: DataFrame, score: Callable[[str, list[str]], list[float]], quer
     return out if top_k is None else out.limit(top_k)
 
 
-def embed_column(df: DataFrame, text_col: str, out_col: str, embed: Callable[[str], list[float]] = hash_embed) -> DataFrame:
-    """Embeds a column in Arrow batches."""
+class EmbedChain:
+    """Providers in order: a batch goes to the first that answers with a vector for every text. A provider maps a list of texts to a list of vectors."""
+
+    def __init__(self, *providers: Callable[[list[str]], list[list[float]]], batch: int = 32):
+        if not providers:
+            raise ValueError("a chain needs a provider")
+        self.providers, self.batch = providers, batch
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.batch):
+            part, errors = texts[i : i + self.batch], []
+            for provider in self.providers:
+                try:
+                    found = provider(part)
+                except Exception as e:  # noqa: BLE001 - whatever a provider raises, the next one is asked
+                    errors.append(e)
+                    continue
+                if len(found) == len(part):
+                    out += found
+                    break
+                errors.append(ValueError(f"{len(found)} vectors for {len(part)} texts"))
+            else:
+                raise RuntimeError(f"no provider embeds the batch: {errors}")
+        return out
+
+
+def embed_column(df: DataFrame, text_col: str, out_col: str, embed: Callable = hash_embed) -> DataFrame:
+    """Embeds a column in Arrow batches; embed is a chain, which gets lists of texts, or a function of one text."""
 
     @F.pandas_udf("array<float>")
     def run(texts):
-        return texts.fillna("").map(embed)
+        import pandas as pd
+
+        texts = texts.fillna("").tolist()
+        return pd.Series(embed(texts) if isinstance(embed, EmbedChain) else [embed(t) for t in texts], dtype=object)
 
     return df.withColumn(out_col, run(F.col(text_col)))
 

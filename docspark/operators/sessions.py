@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.changes import latest
+
 
 def messages(df: DataFrame, session: object, since=None, before=None, order: str = "asc", limit: int | None = None, session_col: str = "session", ts_col: str = "ts") -> DataFrame:
     """Messages of a session in time order; since is inclusive, before exclusive."""
@@ -23,6 +25,18 @@ def live_sessions(sessions: DataFrame, now_ms: int, agent: str | None = None, tt
     return out if agent is None else out.where(F.col("agent") == agent)
 
 
+def pinned(df: DataFrame, session: object, session_col: str = "session", ts_col: str = "ts") -> DataFrame:
+    """The pinned context of a session: what is pinned and not unpinned later, oldest first. df: session, ts, key, pinned, ..."""
+    rows = latest(df.where(F.col(session_col) == session), "key", ts_col)
+    return rows.where("pinned").orderBy(ts_col, "key")
+
+
+def data_map(df: DataFrame, session: object, session_col: str = "session", ts_col: str = "ts") -> DataFrame:
+    """key, value of a session's data: the last value set under each key, without deleted ones (null)."""
+    rows = latest(df.where(F.col(session_col) == session), "key", ts_col)
+    return rows.where("value IS NOT NULL").select("key", "value")
+
+
 def handoffs(df: DataFrame, **equal) -> DataFrame:
     """Handoffs by to, from, status, space or chain_root."""
     for column, value in equal.items():

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import clocks, documents, topics, vectors
-from docspark.operators import changes, replication, search, sessions
+from docspark.operators import ann, changes, replication, search, sessions
 from docspark.sources import scratch
 from docspark.sources.collection import Collection
 from docspark.streaming import live
@@ -178,6 +180,30 @@ def vector_search(spark, sf_dir):
     return _rounded(vector_index(spark, sf_dir).search(query_vector(spark, sf_dir), 10).select("id", "score"))
 
 
+def lists(spark, sf_dir) -> ann.InvertedLists:
+    return ann.InvertedLists(spark, scratch.folder(spark, "lists")).build(load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@register("ann_all_lists", f"WITH {_VECTOR_HITS} SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10")
+def ann_all_lists(spark, sf_dir):
+    """Inverted lists, all of them probed: the exact answer."""
+    return _rounded(lists(spark, sf_dir).search(query_vector(spark, sf_dir), 10, probes=1 << 20).select("id", "score"))
+
+
+@register("ann_recall", "SELECT 20 AS queries, true AS enough")
+def ann_recall(spark, sf_dir):
+    """Whether a probe of some lists finds 0.9 of the ten nearest of 20 stored vectors."""
+    index, store = lists(spark, sf_dir), vector_index(spark, sf_dir)
+    asked = [r for r in load(spark, sf_dir, "embeddings").where("vec_id < 20").collect()]
+    legs = []
+    for r in asked:
+        v = [float(x) for x in r["embedding"]]
+        near = index.search(v, 10).select("id").withColumn("q", F.lit(r["vec_id"]))
+        legs.append(near.join(store.search(v, 10).select("id"), "id"))
+    hits = functools.reduce(DataFrame.unionByName, legs)
+    return hits.agg(F.lit(len(asked)).alias("queries"), (F.count(F.lit(1)) >= 0.9 * 10 * len(asked)).alias("enough"))
+
+
 @register("vector_filter", f"WITH {_VECTOR_HITS}, k AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 30) SELECT id, round(score, 6) AS score FROM k WHERE label = 3")
 def vector_filter(spark, sf_dir):
     return _rounded(vector_index(spark, sf_dir).search(query_vector(spark, sf_dir), 30, F.col("label") == 3).select("id", "score"))

@@ -21,26 +21,27 @@ from docspark.plans import conditions
 from docspark.plans.compiler import Plan, compile_query, mixed_condition, strategy
 from docspark.plans.errors import QueryError
 
+BROADCAST_HITS = 10_000
 SPEC_KEYS = {"where", "select", "order_by", "limit", "offset", "id_prefix", "id_range", "include_docs", "flat", "doc_format"}
 
 
 class Collection:
-    def __init__(self, df: DataFrame, id_col: str = "id", body: str | None = None, now_ms: int | None = None, search=None):
+    def __init__(self, df: DataFrame, id_col: str = "id", body: str | None = None, now_ms: int | None = None, search=None, overfetch: int = 3):
         if id_col not in df.columns:
             raise ValueError(f"no id column {id_col!r}")
         self.df, self.id_col, self.body, self.search = df, id_col, body, search
-        self.now_ms = now_ms
+        self.now_ms, self.overfetch = now_ms, overfetch
 
     @classmethod
-    def typed(cls, df: DataFrame, id_col: str, json_columns: tuple[str, ...] = (), search=None) -> Collection:
+    def typed(cls, df: DataFrame, id_col: str, json_columns: tuple[str, ...] = (), search=None, **options) -> Collection:
         """json_columns are strings to read as documents."""
         for c in json_columns:
             df = df.withColumn(c, F.try_parse_json(F.col(c)))
-        return cls(df, id_col, search=search)
+        return cls(df, id_col, search=search, **options)
 
     @classmethod
-    def documents(cls, df: DataFrame, now_ms: int | None = None, search=None) -> Collection:
-        return cls(df, "id", "body", now_ms, search)
+    def documents(cls, df: DataFrame, now_ms: int | None = None, search=None, **options) -> Collection:
+        return cls(df, "id", "body", now_ms, search, **options)
 
     @classmethod
     def from_json(cls, spark: SparkSession, docs: list[dict], **options) -> Collection:
@@ -93,6 +94,12 @@ class Collection:
             raise QueryError("subscribe", "a SUBSCRIBE query runs through docspark.streaming.live")
         return self.run(plan)
 
+    def subscribe(self, text: str, stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, params: dict | None = None):
+        """Runs a SUBSCRIBE query over the writes in stream, from the rows of this collection: see docspark.streaming.live.subscribe."""
+        from docspark.streaming import live
+
+        return live.subscribe(self, stream, text, handler, checkpoint, params)
+
     def scan(self, plan: Plan) -> DataFrame:
         """The filtered base rows of a collection plan."""
         df, key = self.live(), F.col(f"`{self.id_col}`").cast("string")
@@ -171,10 +178,12 @@ class Collection:
             raise QueryError("no_search", "the collection has no search index")
         call = plan.function
         k = call["k"]
-        fetch = max(k, min(3 * k, 1000)) if plan.where else k
+        fetch = max(k, min(self.overfetch * k, 1000)) if plan.where else k
         hits = self.search.top(call["name"], call["query"], fetch)
         docs = self.live()
-        df = docs.join(F.broadcast(hits), docs[self.id_col].cast("string") == hits["__hit"]).drop("__hit")  # at most fetch hits
+        if fetch <= BROADCAST_HITS:
+            hits = F.broadcast(hits)
+        df = docs.join(hits, docs[self.id_col].cast("string") == hits["__hit"]).drop("__hit")
         if plan.where:
             df = df.where(all_of(plan.where, self.binding()))
         return df.orderBy("__rank").limit(k)

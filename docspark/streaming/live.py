@@ -34,6 +34,10 @@ class _Matcher(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "hlc long, matched boolean")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        last = initialState.sort_values("hlc").iloc[-1]
+        self.seen.update((int(last["hlc"]), bool(last["matched"])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("hlc", kind="stable")
         state = self.seen.get() if self.seen.exists() else None
@@ -73,11 +77,31 @@ def marked(stream: DataFrame, text: str, params: dict | None = None, id_col: str
     return stream.select(key.alias("id"), F.col("hlc").cast("long").alias("hlc"), (hit & ~F.coalesce("deleted", F.lit(False))).alias("matched"), row.alias("row"))
 
 
-def live(stream: DataFrame, text: str, params: dict | None = None, id_col: str = "id", body: str | None = None) -> DataFrame:
-    """Streaming add / change / remove events of a SUBSCRIBE query."""
+def live(stream: DataFrame, text: str, params: dict | None = None, id_col: str = "id", body: str | None = None, start: DataFrame | None = None) -> DataFrame:
+    """Streaming add / change / remove events of a SUBSCRIBE query; start: the documents' last versions before the stream, none by default."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = marked(stream, text, params, id_col, body)
-    return rows.groupBy("id").transformWithStateInPandas(_Matcher(), EVENT_SCHEMA, "Append", "None")
+    before = marked(start, text, params, id_col, body).select("id", "hlc", "matched").groupBy("id") if start is not None else None
+    return rows.groupBy("id").transformWithStateInPandas(_Matcher(), EVENT_SCHEMA, "Append", "None", before)
+
+
+def subscribe(collection: Collection, stream: DataFrame, text: str, handler: Callable[[DataFrame, int], None], checkpoint: str, params: dict | None = None):
+    """Gives the handler the snapshot's rows, then one row `ready`, then the live events batch by batch; returns the running query.
+
+    Rows are (id, hlc, event, row). The collection's frame needs hlc and deleted, as a stream has.
+    LIMIT bounds the snapshot only. After a restart, when the checkpoint is there, only live events follow.
+    """
+    table = collection.df
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        plan = collection.plan(text, params)
+        rows = marked(table, text, params, collection.id_col, collection.body).where("matched")
+        if plan.limit is not None:
+            rows = rows.orderBy("id").limit(plan.limit)
+        handler(rows.select("id", "hlc", F.lit("snapshot").alias("event"), "row"), -2)
+        handler(spark.createDataFrame([(None, None, "ready", None)], EVENT_SCHEMA), -1)
+    return push(live(stream, text, params, collection.id_col, collection.body, table), handler, checkpoint)
 
 
 def snapshot(table: DataFrame, text: str, params: dict | None = None, id_col: str = "id", body: str | None = None) -> DataFrame:

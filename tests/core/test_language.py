@@ -107,7 +107,7 @@ def test_wire_codec_round_trip():
     assert conditions.from_json(conditions.to_json(c)) == c
 
 
-@pytest.mark.parametrize("bad", [["path"], ["nope", ["a"], 1], ["compare", ["a"], "~", 1], ["regex", ["a"], "("], ["path", ["*"], 1], ["path", [], 1], []])
+@pytest.mark.parametrize("bad", [["path"], ["nope", ["a"], 1], ["compare", ["a"], "~", 1], ["regex", ["a"], 3], ["path", ["*"], 1], ["path", [], 1], []])
 def test_invalid_conditions(bad):
     with pytest.raises(QueryError):
         conditions.normalize(bad)
