@@ -88,17 +88,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-PART_BYTES, MOST_PARTS = 64 << 20, 20_000
-
-
-def input_parts(df: DataFrame) -> int:
-    """A number of parts that follows the planner's estimate of the input; results never depend on it."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 60 else 0  # without statistics the estimate is a very large default
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-known // PART_BYTES)))
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -40,8 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch, bounded_batches, input_parts
+from docspark.llm.common import Scratch, bounded_batches
 from docspark.llm.textnum import ASCII_SPACE, mix, space_cut, word_hashes
+from docspark.sources.parts import input_parts
 
 DEPTH = 5
 BLOCK_BYTES = 8 << 20

@@ -25,7 +25,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch, input_parts, let, lower_ascii, strip_ascii, text_or_empty
+from docspark.llm.common import Scratch, let, lower_ascii, strip_ascii, text_or_empty
+from docspark.sources.parts import input_parts
 
 FANOUT = 2
 LAST_ID = (1 << 63) - 1

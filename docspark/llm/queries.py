@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 from docspark.llm import chat, ctw, license, linededup, minhash, mixing, pii, quality, sharding, tiling
 from docspark.llm.common import read
+from docspark.sources.parts import spread
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select(*columns))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.copies(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixing.copies(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+    return license.scan(documents(spark, sf_dir, "doc_id", "text")).drop("spans")
 
 
 def op4_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ctw.score(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,28 +40,28 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tiling.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    out = tiling.contamination(documents(spark, sf_dir, "doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return out.withColumn("contaminated", F.size("items") > 0)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.spans(documents(spark, sf_dir, "doc_id", "text"))
     counts = [pii.count_kind(F.col("base"), i).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
     added = [pii.count_kind(F.col("spans"), i).cast("long").alias(f"n_{pii.KINDS[i]}") for i in (4, 5)]
     return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), percent=85)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     out = quality.verdicts(docs, read(spark, sf_dir, "labels"), keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
