@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import vectors
+from docspark.sources.parts import spread
 
 K1, B = 1.2, 0.75
 RRF_K, ABSENT_RANK = 60, 1000
@@ -50,7 +51,7 @@ class BM25:
     """Scores by a scan of the texts. docs: any frame with an id and a text column."""
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B, min_length: int = 1):
-        self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        self.docs = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
         self.k1, self.b, self.min_length = k1, b, min_length
 
     def _terms(self) -> DataFrame:
