@@ -143,12 +143,12 @@ def scalar_equal(v: Value, x: object) -> Column:
         if x is None:
             return F.is_variant_null(v.col)
         if isinstance(x, bool):
-            return (kind == "BOOLEAN") & (_get(v, "boolean") == x)
+            return (_get(v, "boolean") == x) & (kind == "BOOLEAN")  # the type is looked at only where the value fits
         if isinstance(x, int):
-            return (kind == "BIGINT") & (_get(v, "bigint") == x)
+            return (_get(v, "bigint") == x) & (kind == "BIGINT")
         if isinstance(x, float):
-            return _is_fraction(kind) & (_get(v, "double") == x)
-        return (kind == "STRING") & (_get(v, "string") == x)
+            return (_get(v, "double") == x) & _is_fraction(kind)
+        return (_get(v, "string") == x) & (kind == "STRING")
     if v.whole is not None and _whole_id(x) is not None:
         return v.whole == _whole_id(x)
     want = fitting(v, x)
@@ -195,7 +195,7 @@ def compare(v: Value, op: str, x: object) -> Column:
                 c = _get(v, "decimal(38,0)")
         else:
             fits, c = kind == "STRING", _get(v, "string")
-        return fits & _ordered(c, op, F.lit(x))
+        return _ordered(c, op, F.lit(x)) & fits
     if number:
         return _ordered(v.col, op, F.lit(x)) if isinstance(v.kind, (*WHOLE, *FRACTION)) else F.lit(False)
     if isinstance(v.kind, TIMES):
