@@ -418,6 +418,19 @@ def test_chat_events(spark):
     assert got == {1: [("user", "hi"), ("assistant", "right"), ("user", "new")], None: [("", "")]}
 
 
+def test_chat_edges(spark):
+    log = "conv_id long, msg long, seq long, kind string, role string, text string, extra int"
+    none = spark.createDataFrame([], log)
+    assert chat.format_turns(none).count() == 0 and chat.format_digests(none).count() == 0
+    rows_ = [(None, 1, 0, "message", None, None, 9), (2, 1, 0, "delta", "assistant", "a", 9), (2, 1, 1, "delta", None, "b", 9), (3, 1, 0, "message", "user", "x", 9), (3, 1, 1, "delete", None, None, 9), (4, 1, 0, "message", "assistant", "old", 9), (4, 1, 1, "regenerate", None, None, 9), (4, 1, 2, "delta", None, "new", 9), (4, 1, 3, "edit", None, "newer", 9), (4, 1, 4, "delta", None, "!", 9)]
+    got = {r["conv_id"]: r for r in chat.format_digests(spark.createDataFrame(rows_, log)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {c: r["turns_sha256"] for c, r in got.items()} == {None: sha("\n\n"), 2: sha("assistant\nab\n"), 4: sha("assistant\nnewer!\n")}
+    assert got[4]["loss_sha256"] == sha("newer!") and got[None]["loss_chars"] == 0
+    with pytest.raises(Exception, match="unknown event kind"):
+        chat.format_turns(spark.createDataFrame([(1, 1, 0, "other", "user", "x", 0)], log)).collect()
+
+
 def test_chat_digests(spark, tmp_path):
     conv = [(1, 0, "user", "a<|"), (1, 1, "assistant", None), (1, 2, "assistant", "é<|im_end|>"), (2, 5, "system", "s"), (2, 6, "user", "same"), (2, 6, "user", "same"), (2, 6, "assistant", "tie")] + [(3, i, "user", "x" * 20) for i in range(2500)]
     spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
