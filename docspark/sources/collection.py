@@ -22,7 +22,7 @@ from docspark.plans.compiler import Plan, compile_query, mixed_condition, strate
 from docspark.plans.errors import QueryError
 
 BROADCAST_HITS = 10_000
-SPEC_KEYS = {"where", "select", "order_by", "limit", "offset", "id_prefix", "id_range", "include_docs", "flat", "doc_format"}
+SPEC_KEYS = {"where", "select", "order_by", "limit", "offset", "id_prefix", "id_range", "include_docs", "flat", "doc_format", "decoder"}
 
 
 class Collection:
@@ -226,8 +226,15 @@ class Collection:
         base, select = self.binding(), spec.get("select")
         if select is None:
             doc = F.col(self.body) if self.body else F.struct(*[F.col(f"`{c}`") for c in self.df.columns])
-            if spec.get("doc_format") == "json":
+            how = spec.get("doc_format", "map")
+            if how not in ("map", "json", "binary"):
+                raise QueryError("invalid_spec", f"unknown doc_format {how!r}")
+            if how != "map":
                 doc = F.to_json(doc)
+            if how == "binary":
+                doc = doc.cast("binary")
+            if spec.get("decoder") is not None:
+                doc = spec["decoder"](doc)
             if spec.get("flat"):
                 return df
             return df.select(F.col(f"`{self.id_col}`").alias("id"), *([doc.alias("doc")] if spec.get("include_docs", True) else []))
@@ -253,15 +260,22 @@ class Collection:
         checked = [conditions.normalize(c) for c in cs]
         return all_of(checked, self.binding(), conditions.bindings(checked))
 
-    def page(self, spec: dict, size: int, continuation: str | None = None) -> tuple[DataFrame, Callable[[list], str | None]]:
-        """A keyset page in id order, and a function giving the next token from the page's collected ids."""
+    def page(self, spec: dict, size: int, continuation: str | None = None, ttl_ms: int | None = None) -> tuple[DataFrame, Callable[[list], str | None]]:
+        """A keyset page in id order, and a function giving the next token from the page's collected ids.
+
+        A token lasts ttl_ms; it names no version, so pages of a changing collection should come from one frame.
+        """
+        clock = lambda: int(time.time() * 1000)
+        told = json.loads(base64.urlsafe_b64decode(continuation)) if continuation else {}
+        if told.get("until") is not None and told["until"] < clock():
+            raise QueryError("expired_continuation", "the page's token has expired")
         df, key = self.live(), F.col(f"`{self.id_col}`").cast("string")
         if spec.get("where"):
             df = df.where(self._all(spec["where"]))
-        if continuation:
-            df = df.where(key > json.loads(base64.urlsafe_b64decode(continuation))["after"])
+        if told:
+            df = df.where(key > told["after"])
         page = self._spec_rows(df.orderBy(key).limit(size), spec, conditions.bindings([conditions.normalize(c) for c in spec.get("where", [])]))
-        return page, lambda ids: base64.urlsafe_b64encode(json.dumps({"after": str(ids[-1])}).encode()).decode() if len(ids) == size else None
+        return page, lambda ids: base64.urlsafe_b64encode(json.dumps({"after": str(ids[-1]), "until": None if ttl_ms is None else clock() + ttl_ms}).encode()).decode() if len(ids) == size else None
 
     def explain(self, query: str | dict, params: dict | None = None) -> dict:
         """Access path, conditions, variables, warnings and Spark's plan."""

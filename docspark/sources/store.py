@@ -92,8 +92,10 @@ class Database:
     def current(self) -> DataFrame:
         return self.current_rows().select("id", F.parse_json("json").alias("body"), "hlc", "author", "deleted", "expires_at", "json")
 
-    def collection(self, **options) -> Collection:
-        return Collection.documents(self.current(), **options)
+    def collection(self, eventual: bool = False, **options) -> Collection:
+        """The documents; eventual reads the last compaction alone, which later writes are missing from."""
+        rows = self._read(f"current/e={self._epoch()}", HISTORY) if eventual and self._epoch() else self.current_rows()
+        return Collection.documents(rows.select("id", F.parse_json("json").alias("body"), "deleted", "expires_at"), **options)
 
     def get(self, ids: list[str], include_deleted: bool = False) -> DataFrame:
         """The last writes of some documents: the id filter reaches the files before anything is aggregated."""
@@ -263,6 +265,10 @@ class Database:
         rows = latest_attachments(self._read("attachments", ATTACHMENTS).where((F.col("id") == id_) & (F.col("name") == name)))
         return rows.where(~F.col("deleted")).select("data", "content_type")
 
+    def drop(self) -> None:
+        """Deletes the folder. Branches of it lose what they share."""
+        self._fs.delete(self._path(""), True)
+
     def info(self) -> DataFrame:
         rows = self.history()
         return rows.agg(F.count(F.lit(1)).alias("n_writes"), F.count_distinct("id").alias("n_ids"), F.max("hlc").alias("last_hlc"))

@@ -148,6 +148,19 @@ def drain(events: DataFrame, handler: Callable[[DataFrame, int], None], checkpoi
     return events.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def outbox_batches(tags: dict[str, Column], deliver: Callable[[str, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A handler that gives, per tag with anything new, one entry for each document: the latest of its writes in the batch that the tag's condition takes."""
+    from docspark.operators.changes import latest
+
+    def handle(batch: DataFrame, _: int) -> None:
+        for tag, condition in tags.items():
+            entries = latest(batch.where(condition))
+            if entries.limit(1).count():
+                deliver(tag, entries)
+
+    return handle
+
+
 def index_batches(text_col: str, out_col: str, embed, save: Callable[[DataFrame], None], remove: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A handler that embeds the latest version of each changed document and saves the vectors; remove gets the ids whose latest version is a tombstone."""
     from docspark.operators.changes import latest
