@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators import changes
 from docspark.operators.changes import latest
 
 
@@ -58,11 +59,18 @@ def apply_versions(versions: DataFrame, merger: Callable | None = None) -> DataF
     """id, author, hlc, deleted, body, n_conflicts of each document's winner.
 
     versions: id, author, hlc (string or long), deleted, body, vv (JSON text of author -> hlc seen by
-    the writer). One document's versions meet in one task, so history should be swept first.
+    the writer, their own last write included). Versions that repeat count once. Only a merger needs
+    a document's versions in one task; then history should be swept first.
     """
-    import json
-
     kind = versions.schema["hlc"].dataType.simpleString()
+    slim = versions.select("id", "author", "hlc", "deleted", "body", "vv")
+    if merger is None:
+        seen = slim.dropDuplicates(["id", "author", "hlc"]).withColumn("__vv", F.from_json("vv", f"map<string,{kind}>")).drop("vv")
+        heads = changes.versions(seen, author_col="author", seen_col="__vv").where("status <> 'superseded'").drop("__vv")
+        others = heads.groupBy(F.col("id").alias("__id")).agg(F.sum((F.col("status") == "conflict").cast("long")).alias("n_conflicts"))
+        won = heads.where("status = 'current'").select("id", "author", "hlc", F.coalesce("deleted", F.lit(False)).alias("deleted"), "body")
+        return won.join(others, F.col("id") == F.col("__id")).drop("__id")
+    import json
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.to_dict("records")
@@ -71,7 +79,7 @@ def apply_versions(versions: DataFrame, merger: Callable | None = None) -> DataF
         w, conflicts, _ = fold_versions(rows, merger)
         return pd.DataFrame([[w["id"], w["author"], w["hlc"], bool(w["deleted"]), w["body"], len(conflicts)]], columns=["id", "author", "hlc", "deleted", "body", "n_conflicts"])
 
-    return versions.select("id", "author", "hlc", "deleted", "body", "vv").groupBy("id").applyInPandas(run, f"id string, author string, hlc {kind}, deleted boolean, body string, n_conflicts long")
+    return slim.groupBy("id").applyInPandas(run, f"id string, author string, hlc {kind}, deleted boolean, body string, n_conflicts long")
 
 
 def last_write_wins(versions: DataFrame) -> DataFrame:

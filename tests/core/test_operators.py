@@ -232,8 +232,11 @@ def test_versions_converge(spark):
     import json
 
     df = spark.createDataFrame([(x["id"], x["author"], x["hlc"], x["deleted"], x["body"], json.dumps(x["vv"])) for x in rows], "id string, author string, hlc long, deleted boolean, body string, vv string")
-    got = {x["id"]: x["body"] for x in replication.apply_versions(df).collect()}
-    assert got == {i: replication.fold_versions([x for x in rows if x["id"] == i])[0]["body"] for i in heads}
+    folds = {i: replication.fold_versions([x for x in rows if x["id"] == i]) for i in heads}
+    want = {i: (w["body"], len(c)) for i, (w, c, _) in folds.items()}
+    assert {x["id"]: (x["body"], x["n_conflicts"]) for x in replication.apply_versions(df.unionByName(df.where("hlc < 9"))).collect()} == want
+    merged = {x["id"]: x["body"] for x in replication.apply_versions(df, lambda x, y, _: f"{x}+{y}").collect()}
+    assert merged == {i: replication.fold_versions([x for x in rows if x["id"] == i], lambda x, y, _: f"{x}+{y}")[0]["body"] for i in heads}
     source, target = df.where("author = 'a'"), df.where("author = 'b'")
     assert replication.replicate(source, replication.replicate(source, target)).count() == df.count()
 
