@@ -17,9 +17,10 @@ and falls below the estimate's margin of 5 standard errors with probability 3e-7
 Defined cases: a text without words, or null, has no shingles and links with nothing;
 with fewer words than a shingle the whole sequence is one shingle; rows with an equal
 doc_id are taken as copies of one document (their shingles, if they differ, are separate
-members under the same id); a null doc_id is dropped from nothing: such rows come back
-with a null component and kept true; an empty table gives an empty result; further
-columns are ignored.
+members under the same id); rows with a null doc_id are documents of their own after all
+others: they come back with the component of the smallest real doc_id they reach, or null,
+and of a group without any real one a single row is kept; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
 #: Members of a bucket that one task holds at a time, and shingles of a family, each member counting as so many more.
 BUCKET_BLOCK, FAMILY_BLOCK, MEMBER_WEIGHT = 16_384, 1 << 18, 256
+#: Rows with a null id are numbered from here.
+NULL_IDS = 1 << 62
 _RNG = np.random.default_rng(7)
 MUL = _RNG.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -254,10 +257,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim, _ = numbered(scratch, docs, id_col, text_col)
+    return _classes(scratch, slim, percent, shingle).select(F.when(F.col("doc_id") < NULL_IDS, F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(F.col("component_id") < NULL_IDS, F.col("component_id")).alias("component_id"), "kept")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that near_duplicates doesn't keep."""
+    bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    slim, nulls = numbered(scratch, docs, id_col, text_col)
+    gone = scratch.save(_classes(scratch, slim, percent, shingle).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    real = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return real.unionByName(nulls.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*"))
+
+
+def numbered(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text of every row; and the rows with a null id, __row under __id, written once so that their numbers hold."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    number = (F.lit(NULL_IDS) + F.monotonically_increasing_id()).alias("__id")
+    nulls = scratch.save(docs.where(F.col(id_col).isNull()).select(number, F.col(text_col).alias("__text"), row), "null_ids")
+    real = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return real.unionByName(nulls.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))), nulls
+
+
+def _classes(scratch: Scratch, slim: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; no id is null."""
     signed = scratch.save(slim.mapInArrow(_sign_batches(shingle), SIGNATURE_SCHEMA), "signatures")
     # classes of equal sets; sketches and bands of a class are all alike
-    classes = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     classes = scratch.save(classes, "classes")
     reps = signed.join(classes.select(F.col("digest").alias("__g"), "rep", "n"), (F.col("digest") == F.col("__g")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["digest", "rep"]).select("rep", "n", "sketch", "bands")
     reps = scratch.save(reps, "reps")
@@ -278,4 +305,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE,
     by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__digest"), F.coalesce("component", "rep").alias("__component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(by_class, F.col("digest") == F.col("__digest"), "left")
     component = F.coalesce("__component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

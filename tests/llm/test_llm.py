@@ -706,6 +706,17 @@ def test_minhash_families_in_blocks(spark, monkeypatch, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_null_ids(spark):
+    near = edited(BASE, 1, 1)
+    data = [(None, BASE, 1), (None, BASE, 2), (5, near, 3), (None, prose(80, "other"), 4), (None, prose(80, "other"), 5), (None, None, 6), (None, "", 7), (6, prose(80, "own"), 8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, kept int").repartition(3)
+    got = sorted((r["doc_id"] is None, r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 85).collect() if r["component_id"] is not None)
+    assert got == [(False, True, 5, True), (False, True, 6, True), (True, True, 5, False), (True, True, 5, False)]
+    rows_ = minhash.keep_one(df, 85).collect()
+    assert sorted(r["kept"] for r in rows_ if r["kept"] not in (4, 5)) == [3, 6, 7, 8] and sum(r["kept"] in (4, 5) for r in rows_) == 1
+    assert minhash.keep_one(df, 85).columns == df.columns
+
+
 @pytest.mark.parametrize("block", [1, 3, 10, 1000])
 def test_spanning_links_lose_no_component(spark, block, monkeypatch):
     """Groups of a random relation, in blocks so small that heads and leftovers must meet."""
