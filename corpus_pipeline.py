@@ -25,9 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group at similarity 0.8. Rows with a null id or without words stay."""
-    others = minhash.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the smallest id, of each group at similarity 0.8. Rows without words stay; null ids come after all others."""
+    return minhash.keep_one(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
