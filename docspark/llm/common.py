@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,13 @@ def n_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a DataFrame by SQL functions alone: a literal that is parsed and unfolded."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def ranked(scratch: Scratch, df: DataFrame, order: list[Column], name: str, out: str = "rank") -> DataFrame:
     """Adds a gapless 0-based global rank without a single-task window.
 
@@ -79,7 +87,7 @@ def ranked(scratch: Scratch, df: DataFrame, order: list[Column], name: str, out:
     saved = scratch.save(sorted_, name)
     counts = sorted((r[0], r[1]) for r in saved.groupBy(part).count().collect())
     firsts = list(zip([p for p, _ in counts], itertools.accumulate((n for _, n in counts), initial=0), strict=False))
-    side = saved.sparkSession.createDataFrame(firsts, "__p int, __first long")  # one row per partition
+    side = local_rows(saved.sparkSession, firsts, "__p int, __first long")  # one row per partition
     joined = saved.join(F.broadcast(side), F.col(part) == F.col("__p"))
     return joined.withColumn(out, F.col("__first") + F.col(pos)).drop(part, pos, "__p", "__first")
 

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import let, text_or_empty
+from docspark.llm.common import let, local_rows, text_or_empty
 from docspark.llm.pii_truth import planted
 
 KINDS = ("email", "ip", "card", "phone", "number", "secret")
@@ -231,7 +231,7 @@ def _score_column(trees: list, c: Column) -> Column:
 
 def truth(spark: SparkSession, n: int = PLANTED) -> DataFrame:
     """third, features, n, p: candidates of the planted lines that no test settles, and how many of them are positive."""
-    lines = spark.createDataFrame(planted(n), "i long, text string, start int, end int, good boolean")
+    lines = local_rows(spark, planted(n), "i long, text string, start int, end int, good boolean").repartition(spark.sparkContext.defaultParallelism)
     found = lines.select((F.col("i") % 3).alias("third"), "start", "end", "good", F.explode(F.array(candidates(F.col("text")))).alias("found"))
     open_ = F.filter("found", lambda c: ~(c["valid"] & (c["kind"] < 4)) & ~_inside_valid(c, F.col("found")))
     c = found.select("third", "start", "end", "good", F.explode(open_).alias("c"))
