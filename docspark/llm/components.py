@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.llm.common import Scratch
 
 #: A node with more neighbours than this, and than a ten-thousandth of all edge ends, is a hub.
-HUB_DEGREE, MOST_HUBS = 256, 10_000
+HUB_DEGREE, MOST_HUBS = 32, 10_000
 
 
 def _hung(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:

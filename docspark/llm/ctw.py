@@ -12,7 +12,7 @@ Documents are packed in blocks. A block asks for the distinct words and byte str
 or of the three bytes before the byte. The cells of a part are summed in two steps, first
 by runs of blocks (salts), so neither a common word nor a common byte string brings all
 blocks to one task. Each part builds the subtrees below its triples of bytes, at most
-256 ** (DEPTH - 1) strings each; the levels above are summed by pair, by byte and, from at
+256 ** (DEPTH - 2) strings each; the levels above are summed by pair, by byte and, from at
 most 65,280 nodes, on the driver. The code lengths then go back the same way: part by part
 and salt by salt to the blocks. Nothing of the size of the vocabulary is broadcast, and no
 task holds more than one part's distinct keys and one block.
