@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import clocks, documents, topics
@@ -23,13 +23,13 @@ from docspark.streaming import live
 @register("lazy_ttl", "SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 5 * 100 > 250")
 def lazy_ttl(spark, sf_dir):
     docs = customer_documents(spark, sf_dir)
-    expires = (F.substring("id", 3, 20).cast("long") % 5) * 100
+    expires = (_key() % 5) * 100
     return Collection.documents(docs.df.withColumn("expires_at", expires), now_ms=250).query("SELECT id FROM db")
 
 
 @register("tombstones", "SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0 AND c_mktsegment = 'BUILDING'")
 def tombstones(spark, sf_dir):
-    df = customer_documents(spark, sf_dir).df.withColumn("deleted", F.when(F.substring("id", 3, 20).cast("long") % 4 == 0, True))
+    df = customer_documents(spark, sf_dir).df.withColumn("deleted", F.when(_key() % 4 == 0, True))
     return Collection.documents(df).query("SELECT id FROM db WHERE seg = 'BUILDING'")
 
 
@@ -41,7 +41,8 @@ def _json(spark, sf_dir) -> DataFrame:
     return c.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.to_json(F.struct(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"))).alias("json"))
 
 
-_KEY = F.substring("id", 3, 20).cast("long")
+def _key() -> Column:
+    return F.substring("id", 3, 20).cast("long")
 
 
 @register("store_writes", """SELECT 'c:' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 2 ELSE 1 END AS hlc,
@@ -51,9 +52,9 @@ def store_writes(spark, sf_dir):
     db, docs = Database(spark, scratch.folder(spark, "db")), _json(spark, sf_dir)
     db.put(docs, "a", 1)
     db.compact()
-    third = docs.where(_KEY % 3 == 0).select("id", F.lit('{"seg":"new"}').alias("json"))
-    db.put(third, "a", 2, third.select("id", F.when(_KEY % 2 == 0, 1).otherwise(0).alias("hlc")), partial=True)
-    db.put(docs.where(_KEY % 7 == 0).select("id", F.lit(None).cast("string").alias("json"), F.lit(True).alias("deleted")), "a", 3)
+    third = docs.where(_key() % 3 == 0).select("id", F.lit('{"seg":"new"}').alias("json"))
+    db.put(third, "a", 2, third.select("id", F.when(_key() % 2 == 0, 1).otherwise(0).alias("hlc")), partial=True)
+    db.put(docs.where(_key() % 7 == 0).select("id", F.lit(None).cast("string").alias("json"), F.lit(True).alias("deleted")), "a", 3)
     return db.current().where(~F.col("deleted")).select("id", F.col("hlc").cast("int").alias("hlc"), F.try_variant_get("body", "$.seg", "string").alias("seg"))
 
 
@@ -61,7 +62,7 @@ def store_writes(spark, sf_dir):
 def store_results(spark, sf_dir):
     db, docs = Database(spark, scratch.folder(spark, "db")), _json(spark, sf_dir)
     db.put(docs, "a", 1)
-    return db.put(docs, "a", 2, docs.select("id", (_KEY % 2 + 1).alias("hlc")), partial=True).select("id", "ok", "error")
+    return db.put(docs, "a", 2, docs.select("id", (_key() % 2 + 1).alias("hlc")), partial=True).select("id", "ok", "error")
 
 
 @register("store_branch", "SELECT 'c:' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 3 WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS hlc FROM customer WHERE c_custkey % 5 <> 1")
@@ -70,9 +71,9 @@ def store_branch(spark, sf_dir):
     db, docs = Database(spark, scratch.folder(spark, "db")), _json(spark, sf_dir)
     db.put(docs, "a", 1)
     fork = db.branch(scratch.folder(spark, "fork"), 1)
-    db.put(docs.where(_KEY % 4 == 0), "a", 2)
-    fork.put(docs.where(_KEY % 5 == 0), "b", 3)
-    fork.put(docs.where(_KEY % 5 == 1).select("id", "json", F.lit(True).alias("deleted")), "b", 4)
+    db.put(docs.where(_key() % 4 == 0), "a", 2)
+    fork.put(docs.where(_key() % 5 == 0), "b", 3)
+    fork.put(docs.where(_key() % 5 == 1).select("id", "json", F.lit(True).alias("deleted")), "b", 4)
     db.merge(fork)
     return db.current_rows().where(~F.col("deleted")).select("id", F.col("hlc").cast("int").alias("hlc"))
 
