@@ -200,18 +200,20 @@ class Database:
         self._set_note("_epoch", str(done + 1))
 
     def retain(self, cutoff: int) -> None:
-        """Drops superseded writes and tombstones at or before the cutoff, and raises the floor."""
-        done, folder = self._epoch(), f"{self.path}/history_{uuid.uuid4().hex}"
-        kept = feed.retain(self.history(), cutoff)
-        kept.write.parquet(f"{folder}/e={done}")
-        if self._fs.exists(self._path("_parent")):
-            self._fs.delete(self._path("_parent"), False)
-        self._fs.delete(self._path("history"), True)
-        self._fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(folder), self._path("history"))
-        self._fs.delete(self._path(f"current/e={done}"), True)
+        """Drops superseded writes and tombstones at or before the cutoff, and raises the floor.
+
+        What is kept is written first and then takes the history's place; until the epoch is reset, reads go on from the last compaction.
+        """
+        done, new, old = self._epoch(), f"history_{uuid.uuid4().hex}", f"old_{uuid.uuid4().hex}"
+        feed.retain(self.history(), cutoff).write.parquet(f"{self.path}/{new}/e=0")
+        if self._fs.exists(self._path("history")):
+            self._fs.rename(self._path("history"), self._path(old))
+        self._fs.rename(self._path(new), self._path("history"))
         self._set_note("_epoch", "0")
-        self._fs.rename(self._path(f"history/e={done}"), self._path("history/e=0"))
+        self._fs.delete(self._path("_parent"), False)
         self._set_note("_floor", str(max(cutoff, self.floor() or cutoff)))
+        self._fs.delete(self._path(f"current/e={done}"), True)
+        self._fs.delete(self._path(old), True)
 
     # branches and replication
 
