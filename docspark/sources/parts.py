@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-PART_BYTES, MOST_PARTS = 64 << 20, 20_000
+PART_BYTES, MOST_PARTS, SMALL_BYTES = 64 << 20, 20_000, 8 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -14,9 +14,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input over all cores: a file of one row group would keep one busy. Inputs above PART_BYTES stay as they are read."""
+    """A small input over all cores: a file of one row group would keep one busy. Inputs above SMALL_BYTES stay as they are read."""
     size = estimated_bytes(df)
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size is not None and size <= PART_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size is not None and size <= SMALL_BYTES else df
 
 
 def input_parts(df: DataFrame) -> int:
