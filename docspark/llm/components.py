@@ -32,11 +32,12 @@ def large_star(edges: DataFrame, hub: int) -> DataFrame:
     return _hung(both.where("v > u"), least, hub).where("u != v").distinct()
 
 
-def small_star(edges: DataFrame, hub: int) -> DataFrame:
+def small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are hung on the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return _hung(down, least, hub).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -53,7 +54,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
             break
         mark, i = (row[0], row[1]), i + 1
         hub = max(HUB_DEGREE, 2 * row[0] // MOST_HUBS)  # so at most MOST_HUBS nodes have more
-        now = scratch.save(small_star(large_star(now, hub), hub), f"{name}_{i}")  # a large star has no more edges than it was given
-        scratch.drop(f"{name}_{i - 1}")
+        # both stars are written: a plan of the two together would hold each input many times
+        turned = scratch.save(large_star(now, hub), f"{name}_{i}_large")
+        now = scratch.save(small_star(turned), f"{name}_{i}")
+        scratch.drop(f"{name}_{i - 1}", f"{name}_{i}_large")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
