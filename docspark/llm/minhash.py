@@ -40,8 +40,8 @@ from docspark.llm.textnum import ASCII_SPACE, chunks, joined, mix, shingle_hashe
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
-#: Members of a bucket that one task holds at a time, and shingles of a family, each member counting as so many more.
-BUCKET_BLOCK, FAMILY_BLOCK, MEMBER_WEIGHT = 16_384, 1 << 18, 256
+#: Members of a bucket, and shingles of a family, that one task holds at a time.
+BUCKET_BLOCK, FAMILY_BLOCK = 16_384, 1 << 19
 #: Rows with a null id are numbered from here.
 NULL_IDS = 1 << 62
 _RNG = np.random.default_rng(7)
@@ -299,7 +299,8 @@ def _classes(scratch: Scratch, slim: DataFrame, percent: int, shingle: int) -> D
     likely = spanning_links(scratch, "likely", shared, ["sketch"], BUCKET_BLOCK, _alike(least_equal))
     family = scratch.save(components(scratch, likely, "family"), "families")
     members = family.join(reps.select("rep", "n", "sketch"), F.col("node") == F.col("rep")).join(slim, F.col("node") == F.col("doc_id"))
-    members = members.select(F.col("component").alias("g"), "rep", (F.col("n") + MEMBER_WEIGHT).alias("weight"), "sketch", "text")
+    # written once: large families' members meet more than once, the corpus is shuffled once
+    members = scratch.save(members.select(F.col("component").alias("g"), "rep", F.col("n").alias("weight"), "sketch", "text"), "members")
     links = spanning_links(scratch, "exact", members, ["sketch", "text"], FAMILY_BLOCK, _linked(shingle, percent, least_equal))
     found = scratch.save(components(scratch, links, "links").where("node != component"), "components")
     by_class = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__digest"), F.coalesce("component", "rep").alias("__component"))
