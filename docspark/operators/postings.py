@@ -7,13 +7,14 @@ character that is not an ASCII letter or digit separates, so tokens are found on
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ ALNUM = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 Batches = Iterator[pa.RecordBatch]
 
 
+def folder(term: bytes) -> int:
+    return zlib.crc32(term) % FOLDERS
+
+
 def words(low: bytes, min_length: int) -> list[bytes]:
     found = low.translate(ALNUM).split()
     return found if min_length <= 1 else [w for w in found if len(w) >= min_length]
@@ -36,22 +41,22 @@ def _sliced(batch: pa.RecordBatch) -> Batches:
 
 
 def _postings(min_length: int, dealt: bool) -> Callable[[Batches], Batches]:
-    def run(ids: list[pa.Array], held: list[int], lens: list[int], terms: list[bytes], tfs: list[int]) -> pa.RecordBatch:
-        doc = np.repeat(np.arange(len(held), dtype=np.int64), held)
-        length, tf = np.repeat(np.array(lens, np.int32), held), np.array(tfs, np.int64)
-        if not dealt:
-            out = [pa.array(length), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tf)]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(doc)), *out], ["id", "len", "term", "tf"])
-        distinct = sorted((zlib.crc32(t) % FOLDERS, t) for t in set(terms))
-        rank = {t: i for i, (_, t) in enumerate(distinct)}
-        codes = np.fromiter(map(rank.__getitem__, terms), np.int32, len(terms))
-        order = np.argsort(codes, kind="stable")
-        at = pa.array(codes[order])
-        term, f = pa.array([t for _, t in distinct], pa.binary()).cast(pa.string()).take(at), pa.array([f for f, _ in distinct], pa.int32()).take(at)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(doc[order])), pa.array(length[order]), term, pa.array(tf[order]), f], ["id", "len", "term", "tf", "f"])
+    def run(ids: list[pa.Array], held: list[int], lens: list[int], codes: list[int], tfs: list[int], code: dict[bytes, int]) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        length, tf, at = np.array(lens, np.int32), np.fromiter(tfs, np.int64, len(tfs)), np.fromiter(codes, np.int32, len(codes))
+        distinct, names = pa.array(list(code), pa.binary()), ["id", "len", "term", "tf"]
+        if dealt:
+            names, f = [*names, "f"], np.fromiter(map(folder, code), np.int32, len(code))
+            ranked = pc.sort_indices(pa.RecordBatch.from_arrays([pa.array(f), distinct], ["f", "term"]), [("f", "ascending"), ("term", "ascending")]).to_numpy()
+            rank = np.empty(len(code), np.int32)
+            rank[ranked] = np.arange(len(code), dtype=np.int32)
+            order = np.argsort(rank[at], kind="stable")
+            doc, at, tf = doc[order], at[order], tf[order]
+        out = [pa.concat_arrays(ids).take(pa.array(doc)), pa.array(length[doc]), distinct.cast(pa.string()).take(pa.array(at)), pa.array(tf), *([pa.array(f[at])] if dealt else [])]
+        return pa.RecordBatch.from_arrays(out, names)
 
     def count(batches: Batches) -> Batches:
-        ids, held, lens, terms, tfs = [], [], [], [], []
+        ids, held, lens, codes, tfs, code = [], [], [], [], [], defaultdict(itertools.count().__next__)
         for batch in batches:
             start = 0
             for i, low in enumerate(batch.column(1).to_pylist(), 1):
@@ -59,14 +64,23 @@ def _postings(min_length: int, dealt: bool) -> Callable[[Batches], Batches]:
                 counts = Counter(found)
                 held.append(len(counts))
                 lens.append(len(found))
-                terms.extend(counts)
+                codes.extend(map(code.__getitem__, counts))
                 tfs.extend(counts.values())
-                if len(terms) >= RUN:
-                    yield from _sliced(run([*ids, batch.column(0).slice(start, i - start)], held, lens, terms, tfs))
-                    start, ids, held, lens, terms, tfs = i, [], [], [], [], []
+                if len(codes) >= RUN:
+                    yield from _sliced(run([*ids, batch.column(0).slice(start, i - start)], held, lens, codes, tfs, code))
+                    start, ids, held, lens, codes, tfs, code = i, [], [], [], [], [], defaultdict(itertools.count().__next__)
             ids.append(batch.column(0).slice(start))
-        if terms:
-            yield from _sliced(run(ids, held, lens, terms, tfs))
+        if codes:
+            yield from _sliced(run(ids, held, lens, codes, tfs, code))
+
+    return count
+
+
+def _lengths(min_length: int) -> Callable[[Batches], Batches]:
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            lens = [len(words(low, min_length)) for low in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens, pa.int32())], ["id", "len"])
 
     return count
 
@@ -78,7 +92,7 @@ def _frequencies(min_length: int) -> Callable[[Batches], Batches]:
     def count(batches: Batches) -> Batches:
         held: Counter = Counter()
         for batch in batches:
-            for found in map(words, batch.column(0).to_pylist(), repeat(min_length)):
+            for found in map(words, batch.column(0).to_pylist(), itertools.repeat(min_length)):
                 held.update(set(found))
                 if len(held) >= HELD:
                     yield from give(held)
@@ -95,16 +109,24 @@ def _bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def _low(docs: DataFrame) -> DataFrame:
+    return _bounded(docs).select("id", F.lower("text").cast("binary").alias("low"))
+
+
 def postings(docs: DataFrame, min_length: int, dealt: bool = False) -> DataFrame:
     """id, len, term, tf of every document's distinct terms, from id and text (not null).
 
     dealt adds the term's folder f; the rows then come in runs sorted by f and term.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    low = _bounded(docs).select("id", F.lower("text").cast("binary").alias("low"))
-    return low.mapInArrow(_postings(min_length, dealt), f"id {kind}, len int, term string, tf long" + ", f int" * dealt)
+    return _low(docs).mapInArrow(_postings(min_length, dealt), f"id {kind}, len int, term string, tf long" + ", f int" * dealt)
+
+
+def lengths(docs: DataFrame, min_length: int) -> DataFrame:
+    """id, len of every document."""
+    return _low(docs).mapInArrow(_lengths(min_length), f"id {docs.schema['id'].dataType.simpleString()}, len int")
 
 
 def frequencies(docs: DataFrame, min_length: int) -> DataFrame:
     """term, df: parts of the number of documents that hold a term, to be summed."""
-    return _bounded(docs).select(F.lower("text").cast("binary").alias("low")).mapInArrow(_frequencies(min_length), "term string, df long")
+    return _low(docs).select("low").mapInArrow(_frequencies(min_length), "term string, df long")

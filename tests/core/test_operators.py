@@ -69,6 +69,34 @@ def test_term_index_equals_scan(spark, tmp_path):
     assert "EqualTo(term,rust)" in plan and "PartitionFilters: [isnotnull(f" in plan
 
 
+def test_term_index_moves_no_postings_but_in_a_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "RUN", 7)
+    written = []
+    write = search.TermIndex._write
+    monkeypatch.setattr(search.TermIndex, "_write", lambda self, told, rows: (written.append(rows), write(self, told, rows))[1])
+    texts = {"1": "go rust go", "2": "", "3": None, "4": "zig É go", "5": "ada rust"}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, text string")
+    index = search.TermIndex(spark, str(tmp_path / "a"))
+    for part in (texts, {"1": "rust", "3": "go 3"}, {"1": "zig zig", "6": "go"}):
+        index.add(frame(part))
+        texts |= part
+        assert "hashpartitioning" not in written[-1]._jdf.queryExecution().executedPlan().toString()
+    index.remove(["5", "nobody"])
+    texts.pop("5")
+    want = {x["id"]: x["score"] for x in search.BM25(frame(texts)).scores("go zig rust 3").collect()}
+    for bound in (100, 0):  # later ids broadcast, or joined by a shuffle
+        monkeypatch.setattr(search.TermIndex, "MOST_BROADCAST", bound)
+        one = index.merge(str(tmp_path / f"b{bound}"))
+        for i in (index, one):
+            assert {x["id"]: x["score"] for x in i.scores("go zig rust 3").collect()} == pytest.approx(want)
+        live = one._postings()
+        assert live.count() == len({(k, w) for k, t in texts.items() for w in search.tokenize(t or "")})
+        assert {r["f"] for r in live.collect()} == {postings.folder(r["term"].encode()) for r in live.collect()}
+        if bound:
+            plan = index._postings()._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_tokenizer():
     assert search.tokenize("Été 3x-Y_z") == ["t", "3x", "y", "z"]
 
